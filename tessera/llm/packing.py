@@ -80,10 +80,10 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
         def __missing__(self, word: str) -> bytes:
             if len(word) > CACHE_CHARS:
                 return whole(word)
-            low = word.lower()
-            stem = low.rstrip(TAIL)
+            stem = word.rstrip(TAIL)
             if stem.isalpha():  # letters and what follows them are apart for the pre-tokenizer
-                ids = stems[stem] + stems[low[len(stem) :]] if len(stem) < len(low) else stems[stem]
+                tail = word[len(stem) :]
+                ids = stems[stem.lower() if stem.isascii() else stem] + (stems[tail] if tail else b"")
             else:
                 ids = whole(word)
             if len(self) >= CACHE_WORDS:

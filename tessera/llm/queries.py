@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import packing
+from . import chat, packing, secrets
 
-MODULES = (packing,)
+MODULES = (chat, packing, secrets)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
