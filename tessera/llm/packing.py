@@ -13,6 +13,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import sys
 import zlib
 from collections.abc import Callable, Iterator
@@ -46,6 +47,7 @@ def power_of_two_lengths(n: int, longest: int = MAX_TOKENS) -> Iterator[int]:
             yield 1 << bit
 
 
+@functools.cache  # a worker keeps what it has learnt for its next tasks
 def word_encoder(path: str) -> Callable[[str], bytes]:
     """text -> little-endian 32-bit ids, as the tokenizer file gives them for the whole text.
 
