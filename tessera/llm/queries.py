@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat, packing, pii, quality, secrets, sentencepiece
+from . import chat, html_text, packing, pii, quality, secrets, sentencepiece
 
-MODULES = (chat, sentencepiece, pii, quality, packing, secrets)
+MODULES = (html_text, chat, sentencepiece, pii, quality, packing, secrets)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
