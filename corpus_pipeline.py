@@ -1,26 +1,66 @@
-"""The corpus pipeline: quality, near-dedup, privacy, packing."""
+"""The corpus pipeline: quality, near-dedup, privacy, packing.
+
+Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept
+and, but for the last, returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import Scratch, joinable, table
+from tessera.llm.near_dup import near_duplicates
 from tessera.llm.packing import default_tokenizer, pack
+from tessera.llm.pii import pseudonymise, session_key
+from tessera.llm.quality import ACCEPT, fit, scorer
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    score = scorer(fit(docs, table(spark, sf_dir, "labels")))
+    return docs.select(*COLUMNS).filter(score(F.col("text")) >= ACCEPT)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates; of repeated rows, one. Rows without doc_id stay."""
+    classes = near_duplicates(docs)
+    gone = Scratch(spark, "pipeline").put(classes.filter("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    kept = docs.select(*COLUMNS).join(joinable(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    # rows that share a doc_id are one document: only where there are any does a row go
+    again = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again"))
+    again = Scratch(spark, "pipeline").put(again)
+    once = kept.join(joinable(again), F.col("doc_id") == F.col("again"), "left_anti")
+    twice = kept.join(joinable(again), F.col("doc_id") == F.col("again"), "left_semi")
+    return once.unionByName(twice.dropDuplicates(["doc_id"]))
+
+
+def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms for personal data."""
+    out = pseudonymise(docs.select(*COLUMNS), session_key(spark))
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents."""
     return pack(docs, default_tokenizer())
 
 
-STAGES = [("packing", packing)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("privacy", privacy), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what each keeps is written and read again."""
+    scratch = Scratch(spark, "corpus")
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = scratch.put(docs)
     return docs
 
 
-#: Tokenizing and near-dedup are beyond SQL.
+#: The classifier, near-dedup and tokenizing are beyond SQL.
 ORACLE_SQL = None
