@@ -137,7 +137,7 @@ def search_index(index: DataFrame, queries: DataFrame, quantiser: Quantiser, pro
     data = index.join(plan, "list").withColumn("block", place("vec_id", "blocks", 1)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     asks = asked.join(plan, "list").withColumn("chunk", place("query_id", "chunks", 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
-    def run(key, rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "vec_id", "score"]
         if not len(rows) or not len(wanted):
             return pd.DataFrame(columns=columns)
