@@ -1,0 +1,25 @@
+"""Registered queries over the small tables, against SQL where there is some."""
+
+import duckdb
+import pytest
+
+from tessera.llm import queries
+
+TINY = "/root/testdata/sf0.001"
+
+
+def test_names():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_agrees(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "pages", "labels", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{TINY}/{t}.parquet'")
+    want = con.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, TINY)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = sorted(tuple(r[c] for c in want.columns) for r in got.collect())
+    assert rows == sorted(want.fetchall())
