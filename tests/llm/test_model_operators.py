@@ -96,7 +96,7 @@ def test_nearest_neighbours(spark):
 
 def test_nearest_neighbours_of_little(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], VEC)
-    assert [(r["rank"], r["vec_id"]) for r in ann.search(few).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    assert [(r["rank"], r["vec_id"]) for r in ann.search(few).orderBy("rank").collect()] == [(1, 2), (2, 1)]
     assert ann.search(few.limit(0)).count() == 0
     assert ann.search(few.filter("vec_id = 1")).count() == 0
 
