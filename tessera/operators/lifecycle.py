@@ -43,7 +43,7 @@ def applied(changes: DataFrame) -> DataFrame:
         out = out.withColumn(column, value)
     for column in ("strength", "outcome_score"):
         if column in changes.columns:
-            out = out.withColumn(column, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(column))))
+            out = out.withColumn(column, F.when(F.col(column).isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(column)))))
     return out
 
 
