@@ -98,3 +98,23 @@ def latest_usage(entries: DataFrame, window: int = 200_000) -> DataFrame:
     """Per session, the tokens of its last entry and their percentage of the context window, to one decimal."""
     last = entries.groupBy("session_id").agg(F.max_by("tokens", F.struct("ts", "event_id")).alias("tokens"))
     return last.withColumn("percent", F.floor(F.col("tokens") * 1000 / window + 0.5) / 10)
+
+
+def recent(events: DataFrame, limit: int, session: int | None = None, types: tuple[str, ...] = ()) -> DataFrame:
+    """The newest events, of one session or of given types."""
+    if session is not None:
+        events = events.filter(F.col("session_id") == session)
+    if types:
+        events = events.filter(F.col("event_type").isin(*types))
+    return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
+
+
+def buffer_statistics(events: DataFrame, now: Column, days: int = 1) -> DataFrame:
+    """event_type, n, last_day: how many there are and how many are recent."""
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("ts") >= now - F.make_dt_interval(days=F.lit(days))).alias("last_day"))
+
+
+def analysis_due(buffers: DataFrame, most: int = 20, least: int = 5, seconds_old: int = 60) -> DataFrame:
+    """session_id, due: buffers (session_id, n, age, learning) to be analysed: full, or with enough events and either old or with a learning moment."""
+    due = (F.col("n") >= most) | ((F.col("n") >= least) & ((F.col("age") >= seconds_old) | F.col("learning")))
+    return buffers.select("session_id", due.alias("due"))
