@@ -81,7 +81,8 @@ def sessions(changes: DataFrame) -> DataFrame:
 def current_session(all_sessions: DataFrame, nth: int = 1, open_only: bool = False) -> DataFrame:
     """The nth latest session; with open_only, of those that have not ended."""
     kept = all_sessions.filter("ended_at is null") if open_only else all_sessions
-    return kept.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("started_at"), "session_id"))).filter(F.col("_n") == nth).drop("_n")
+    newest = kept.orderBy(F.desc("started_at"), "session_id").limit(nth)
+    return newest.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("started_at"), "session_id"))).filter(F.col("_n") == nth).drop("_n")
 
 
 def split_blobs(events: DataFrame, most_tokens: int = 1000) -> tuple[DataFrame, DataFrame]:

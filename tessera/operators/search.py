@@ -41,13 +41,18 @@ def postings(memories: DataFrame, columns: Sequence[str] = ("content", "scope_pa
     return memories.select("id", F.size(terms).alias("dl"), F.explode(terms).alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(memories: DataFrame, terms: Sequence[str], columns: Sequence[str] = ("content", "scope_path")) -> DataFrame:
+def bm25(memories: DataFrame, terms: Sequence[str], columns: Sequence[str] = ("content", "scope_path"), stems: bool = False) -> DataFrame:
     """``memories`` with bm25 > 0 for any of the terms; statistics over all rows given.
 
     Only the query's terms are counted, in the scan itself; the statistics are
-    one row, and no postings are shuffled.
+    one row, and no postings are shuffled.  ``stems``: words match by stem.
     """
-    counted = memories.withColumn("_terms", F.concat(*(F.coalesce(text.words_of(F.col(c)), F.array()) for c in columns)))
+    words = F.concat(*(F.coalesce(text.words_of(F.col(c)), F.array()) for c in columns))
+    if stems:
+        from ..functions import stem
+
+        words, terms = stem.stemmed(words), list(dict.fromkeys(map(stem.stem, terms)))
+    counted = memories.withColumn("_terms", words)
     is_term = lambda t: lambda w: w == F.lit(t)
     tf = [F.size(F.filter("_terms", is_term(t))).alias(f"_tf{i}") for i, t in enumerate(terms)]
     counted = counted.select(*memories.columns, F.size("_terms").alias("_dl"), *tf)
@@ -75,6 +80,22 @@ def vector(vectors: DataFrame, query: DataFrame, limit: int = 50, key: str = "ve
     return near.select(key, "distance").orderBy("distance", key).limit(limit)
 
 
+def related(bases: DataFrame, vectors: DataFrame, first: int = 3, k: int = 3) -> DataFrame:
+    """Neighbours of the first few bases (id, rank): id, base, distance; bases themselves are left out."""
+    few = bases.orderBy("rank").limit(first).select(F.col("id").alias("base"))
+    asked = few.join(vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("q")), F.col("base") == F.col("b")).select("base", "q")
+    near = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("base")).join(bases.select(F.col("id").alias("known")), F.col("vec_id") == F.col("known"), "left_anti")
+    order = Window.partitionBy("base").orderBy("distance", "vec_id")
+    scored = near.select(F.col("vec_id").alias("id"), "base", (1 - score.cosine(F.col("embedding"), F.col("q"))).alias("distance"), "vec_id")
+    return scored.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select("id", "base", "distance")
+
+
+def latest_vectors(log: DataFrame) -> DataFrame:
+    """The current vector of each id from an upsert log (vec_id, version, embedding; a null embedding deletes)."""
+    last = log.groupBy("vec_id").agg(F.max_by("embedding", "version").alias("embedding"))
+    return last.filter("embedding is not null")
+
+
 def fused(lexical_hits: DataFrame, vector_hits: DataFrame, memories: DataFrame, alpha: float = 0.5, status: Sequence[str] = ("active",)) -> DataFrame:
     """Reciprocal rank fusion: memories with rrf and match (lexical, vector or hybrid)."""
     # both lists are top-k results, so one task ranks them

@@ -92,6 +92,46 @@ def checkpoints(events: DataFrame, triggers: bool = False) -> DataFrame:
     return events.groupBy("session_id").transformWithStateInPandas(processor, CHECKPOINT, outputMode="Append", timeMode="None")
 
 
+DISCLOSURE = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("trigger", T.StringType()), T.StructField("confidence", T.DoubleType())])
+
+
+class Disclosures(StatefulProcessor):
+    """When a session needs context: an error burst (counted since the last disclosure), else a change of topic.
+
+    State of a session: its error count and last topic.
+    """
+
+    burst = 3
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("disclosure", "errors int, topic string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        errors, topic = self.state.get() if self.state.exists() else (0, None)
+        out = []
+        for event_id, kind, name in zip(batch["event_id"], batch["event_type"], batch["topic"], strict=True):
+            errors += kind == "error"
+            shifted = isinstance(name, str) and topic is not None and name != topic
+            topic = name if isinstance(name, str) else topic
+            if errors >= self.burst:
+                out.append((key[0], int(event_id), "error_burst", min(1.0, errors / 5)))
+                errors = 0
+            elif shifted:
+                out.append((key[0], int(event_id), "topic_shift", 0.7))
+        self.state.update((errors, topic))
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in DISCLOSURE])
+
+    def close(self) -> None:
+        pass
+
+
+def disclosures(events: DataFrame) -> DataFrame:
+    """session_id, event_id, trigger, confidence of a stream of events (session_id, event_id, ts, event_type, topic)."""
+    return events.groupBy("session_id").transformWithStateInPandas(Disclosures(), DISCLOSURE, outputMode="Append", timeMode="None")
+
+
 def curate_batches(events: DataFrame, path: str, checkpoint: str):
     """Runs the batch curation on each micro-batch and appends its candidates; replayed batches overwrite themselves."""
     from ..operators import curate

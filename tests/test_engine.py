@@ -227,3 +227,31 @@ def test_empty_store(spark):
     assert records.quality_metrics(empty, now()).first().health == 100
     assert records.recommendations(records.quality_metrics(empty, now())).first().advice == ["no memories yet"]
     assert {r.n for r in records.status_counts(empty).collect()} == {0}
+
+
+def test_stems(spark):
+    from tessera.functions import stem
+
+    pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall filing file happy happi sky sky relational relat conditional condit digitizer digit operator oper feudalism feudal formaliti formal triplicate triplic hopeful hope goodness good revival reviv adjustment adjust adoption adopt probate probat rate rate controll control roll roll".split()
+    assert [stem.stem(w) for w in pairs[::2]] == pairs[1::2]
+    m = spark.createDataFrame([(1, "connecting services", "s"), (2, "connected", "s"), (3, "other words", "s")], "id long, content string, scope_path string")
+    assert {r.id for r in search.bm25(m, ["connection"], stems=True).collect()} == {1, 2}
+    assert search.bm25(m, ["connection"]).count() == 0
+
+
+def test_hooks(spark):
+    from tessera.functions import hooks
+
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "abcde")], "id long, content string")
+    got = {r.id: (r.embedding, r.token_count) for r in hooks.with_token_counts(hooks.with_embeddings(rows, "content", lambda: lambda ts: [[len(t), 1.0] for t in ts], 2), "content", lambda: lambda t: len(t)).collect()}
+    assert got == {1: ([2.0, 1.0], 2), 2: ([0.0, 1.0], 0), 3: ([5.0, 1.0], 5)}
+    assert hooks.extracted(rows, lambda: lambda b: b[["id"]], "id long").count() == 3
+
+
+def test_related_and_latest_vectors(spark):
+    v = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(8)], "vec_id long, embedding array<float>")
+    bases = spark.createDataFrame([(0, 1), (7, 2)], "id long, rank int")
+    got = {(r.base, r.id) for r in search.related(bases, v, k=2).collect()}
+    assert got == {(0, 1), (0, 2), (7, 6), (7, 5)}
+    log = spark.createDataFrame([(1, 1, [1.0]), (1, 2, [2.0]), (2, 1, [1.0]), (2, 3, None)], "vec_id long, version long, embedding array<float>")
+    assert [(r.vec_id, r.embedding) for r in search.latest_vectors(log).collect()] == [(1, [2.0])]

@@ -43,3 +43,22 @@ def test_ingest_stream(spark, event_files, tmp_path):
     got = run(stream, spark, "ingested", tmp_path)
     assert got.count() == spark.read.parquet(event_files).select("session_id").distinct().count()  # one text each
     assert got.filter("token_count = 1 and length(content_hash) = 16").count() == got.count()
+
+
+def test_disclosures(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [(1, i, 100 + i, "error" if i in (1, 3, 4) else "turn", "a" if i < 3 else "b" if i == 6 else None) for i in range(8)]
+    events = spark.createDataFrame(rows, "session_id long, event_id long, at long, event_type string, topic string").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    events.write.parquet(f"{tmp_path}/e")
+    stream = ingest.disclosures(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/e"))
+    got = run(stream, spark, "disclosed", tmp_path).collect()
+    assert [(r.event_id, r.trigger, r.confidence) for r in sorted(got)] == [(4, "error_burst", 0.6), (6, "topic_shift", 0.7)]
+
+
+def test_curated_batches(spark, event_files, tmp_path):
+    stream = ingest.read_events(spark, event_files).withColumn("content", F.lit("Never use any casts in this code base."))
+    query = ingest.curate_batches(stream, f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert [r.object_type for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["constraint"]
