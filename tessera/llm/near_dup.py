@@ -47,7 +47,7 @@ BANDS, ROWS = 25, 5
 #: Members of a leader's group that a task compares with each other at most.
 BLOCK_LEFT, BLOCK_RIGHT = 1024, 3072
 #: Shingles looked at together when a block is compared.
-COLUMNS = 4096
+COLUMNS = 2048
 
 U = np.uint64
 PRIME = U(0x9E3779B97F4A7C15 | 1)

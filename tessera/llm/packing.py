@@ -30,7 +30,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Sequence ids are (partition << SEQUENCE_BITS) + counter.
 SEQUENCE_BITS = 40
 #: Words up to this length are remembered, and at most so many of them.
-CACHE_CHARS, CACHE_WORDS = 64, 600_000
+CACHE_CHARS, CACHE_WORDS = 64, 250_000
 #: Marks that may follow the letters of a word and are a token run of their own.
 TAIL = ".,!?;:$%&*#|)"
 #: White space by which str.split cuts but Unicode's White_Space property does not.
