@@ -39,6 +39,11 @@ def test_main_text_blocks_and_references(spark):
     assert got[4]["text"] == "plain < text"
 
 
+def test_chrome_within_a_block():
+    parts = "<article><p><span class='ad'>Ad</span> one <a class=share>Share</a>two<script>x()</script></p><div>three<nav>menu</nav>four</div></article>"
+    assert html_text.Page(parts).text(set()) == "one two\nthree\nfour"
+
+
 @pytest.mark.parametrize("most", [1000, 0])
 def test_templates_are_counted_per_host_and_deleted(spark, most):
     def bare(i, note):
