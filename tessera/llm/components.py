@@ -15,6 +15,8 @@ from .common import Scratch
 def connected(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """node, component (the smallest node it reaches) of the nodes of ``edges`` (u long, v long)."""
     now = scratch.put(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     state = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
