@@ -330,4 +330,18 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_near_dedup": op9_near_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_near_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)),
+r AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT l.a, r.m FROM r JOIN l ON l.b = r.doc_id),
+c AS (SELECT doc_id, min(m) AS m FROM r GROUP BY 1)
+SELECT e.doc_id, c.m AS class_id, e.doc_id IS NOT DISTINCT FROM c.m AS kept FROM documents e LEFT JOIN c ON c.doc_id = e.doc_id
+"""
+}
