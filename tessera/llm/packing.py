@@ -14,6 +14,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,7 +31,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Sequence ids are (partition << SEQUENCE_BITS) + counter.
 SEQUENCE_BITS = 40
 #: Words up to this length are remembered, and at most so many of them.
-CACHE_CHARS, CACHE_WORDS = 64, 250_000
+CACHE_CHARS, CACHE_WORDS = 64, 450_000
 #: Marks that may follow the letters of a word and are a token run of their own.
 TAIL = ".,!?;:$%&*#|)"
 #: White space by which str.split cuts but Unicode's White_Space property does not.
@@ -47,6 +48,25 @@ def power_of_two_lengths(n: int, longest: int = MAX_TOKENS) -> Iterator[int]:
             yield 1 << bit
 
 
+#: Letters up to U+024F but for the dotted capital I, whose lower case is two characters.
+PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+
+
+def bytes_as_chars() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
+def remember(cache: dict, key: str, value: bytes) -> None:
+    """Adds to a cache; a full one first loses its younger half, as frequent words come early."""
+    if len(cache) >= CACHE_WORDS:
+        for k in list(cache)[CACHE_WORDS // 2 :]:
+            del cache[k]
+    cache[key] = value
+
+
 @functools.cache  # a worker keeps what it has learnt for its next tasks
 def word_encoder(path: str) -> Callable[[str], bytes]:
     """text -> little-endian 32-bit ids, as the tokenizer file gives them for the whole text.
@@ -62,18 +82,30 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
 
-    def whole(text: str) -> bytes:
-        ids = array("I", tok.encode(text, add_special_tokens=False).ids)
+    def packed(ids: list[int]) -> bytes:
+        out = array("I", ids)
         if sys.byteorder != "little":
-            ids.byteswap()
-        return ids.tobytes()
+            out.byteswap()
+        return out.tobytes()
+
+    def whole(text: str) -> bytes:
+        return packed(tok.encode(text, add_special_tokens=False).ids)
+
+    model, byte_chars = tok.model, bytes_as_chars()
+
+    def letters(stem: str) -> bytes:
+        """Ids of a run of plain letters: what the whole pipeline makes of it, by the merges alone."""
+        low = stem.lower()
+        if not low.isascii():
+            low = "".join(map(byte_chars.__getitem__, low.encode()))
+        return packed([t.id for t in model.tokenize(low)])
+
+    trusted = all(letters(s) == whole(s) for s in ("a", "Word", "thonre", "École", "über", "ñandú", "straße"))
 
     class Stems(dict):
         def __missing__(self, stem: str) -> bytes:
-            ids = whole(stem)
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[stem] = ids
+            ids = letters(stem) if trusted and PLAIN(stem) else whole(stem)
+            remember(self, stem, ids)
             return ids
 
     stems = Stems()
@@ -88,9 +120,7 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
                 ids = stems[stem.lower() if stem.isascii() else stem] + (stems[tail] if tail else b"")
             else:
                 ids = whole(word)
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
+            remember(self, word, ids)
             return ids
 
     words = Words()
@@ -98,6 +128,8 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         if any(c in text for c in ODD_SPACE):
             return whole(text)
+        if text.isascii() and "<|" not in text:  # no special token can come of it
+            text = text.lower()
         return b"".join(map(words.__getitem__, text.split()))
 
     return encode
