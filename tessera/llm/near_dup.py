@@ -44,8 +44,10 @@ from .components import connected
 WORDS, SIMILAR = 5, 0.8
 #: 0.8^5 = 0.33 per band: two documents at the threshold share none of 25 with probability 0.00005.
 BANDS, ROWS = 25, 5
-#: Members of a leader's group that a task compares with each other at most.
+#: Members of a leader's group that a task compares with each other at most; groups too
+#: small for SPLITS such blocks a side are cut into smaller ones, of at least these sizes.
 BLOCK_LEFT, BLOCK_RIGHT = 1024, 3072
+SMALL_LEFT, SMALL_RIGHT, SPLITS = 256, 512, 8
 #: Shingles looked at together when a block is compared.
 COLUMNS = 2048
 
@@ -309,7 +311,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     group = compared.select("rep", "leader").distinct().join(at, F.col("rep") == F.col("n_node"), "left").select("rep", "leader", F.coalesce("n_component", "rep").alias("component"))
     group = scratch.put(group.join(at, F.col("leader") == F.col("n_node"), "left").select("rep", "leader", "component", (F.col("component") != F.coalesce("n_component", "leader")).alias("apart")))
     counts = group.groupBy("leader").agg(F.count("*").alias("members"), F.count_if("apart").alias("apart_n")).filter("apart_n > 0 and members > 1")
-    counts = counts.select(F.col("leader").alias("g"), F.ceil(F.col("apart_n") / BLOCK_LEFT).cast("int").alias("n_left"), F.ceil(F.col("members") / BLOCK_RIGHT).cast("int").alias("n_right"))
+    blocks = lambda n, small, most: F.least(F.ceil(F.col(n) / small), F.greatest(F.lit(SPLITS), F.ceil(F.col(n) / most))).cast("int")
+    counts = counts.select(F.col("leader").alias("g"), blocks("apart_n", SMALL_LEFT, BLOCK_LEFT).alias("n_left"), blocks("members", SMALL_RIGHT, BLOCK_RIGHT).alias("n_right"))
     open_groups = group.join(counts, F.col("leader") == F.col("g"))
     place = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     row = lambda side: ("leader", "i", "j", F.lit(side).alias("side"), "rep", "component")
@@ -318,6 +321,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     members = left.unionByName(right).join(mine, F.col("rep") == F.col("m")).select("leader", "i", "j", "side", "rep", "component", "s")
     rest = scratch.put(compare_groups(members, similar))
     classes = scratch.put(connected(star.unionByName(rest), scratch)) if not rest.isEmpty() else first
+    scratch.drop(shared, known, sets, compared, group, rest)
     to_rep = reps.select("s1", "s2", "rep").alias("r")
     out = signs.select("doc_id", "s1", "s2", "n").alias("d").join(to_rep, (F.col("d.s1") == F.col("r.s1")) & (F.col("d.s2") == F.col("r.s2")) & (F.col("d.n") > 0), "left").select("doc_id", "rep")
     out = out.join(classes.select("node", "component"), F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("class_id"))

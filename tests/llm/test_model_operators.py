@@ -196,8 +196,8 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 def test_blocks_of_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK_LEFT", 16)
-    monkeypatch.setattr(near_dup, "BLOCK_RIGHT", 24)
+    for name, value in {"BLOCK_LEFT": 16, "BLOCK_RIGHT": 24, "SMALL_LEFT": 8, "SMALL_RIGHT": 12, "SPLITS": 3}.items():
+        monkeypatch.setattr(near_dup, name, value)
     monkeypatch.setattr(near_dup, "COLUMNS", 32)
     base = prose(150)
     texts = [edited(base, 2 + n % 6) for n in range(200)]
