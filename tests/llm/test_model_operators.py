@@ -141,6 +141,49 @@ def test_embedding_links(spark, monkeypatch, small):
     assert graph_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_shards_asked_hold_every_link():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(3000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    y = x + 0.32 * x[draw.permutation(3000)]  # cosine of about 0.953, the direction any
+    y /= np.sqrt((y * y).sum(1))[:, None]
+    rows = np.vstack([x, y])
+    centres = graph_dedup.k_means(rows, 60)
+    d = np.sqrt(graph_dedup.nearest(rows, centres))
+    home = d.argmin(1)
+    radii = np.array([d[home == c, c].max() if (home == c).any() else -np.inf for c in range(len(centres))])
+    asked = graph_dedup.Bounds(centres, radii, 0.95).asked(d)
+    linked = np.flatnonzero((x * y).sum(1) >= 0.95)
+    assert len(linked) > 1000 and (home[linked] != home[linked + 3000]).any()
+    assert asked[linked, home[linked + 3000]].all() and asked[linked + 3000, home[linked]].all()
+
+
+def test_audit_of_links_counts_every_size():
+    assert not graph_dedup.passes(np.zeros(5), np.zeros(5))  # no link shows nothing
+    hot, pairs = np.full(100, 5000.0), np.ones(100)
+    truth = np.concatenate([hot, pairs])
+    assert graph_dedup.passes(truth, truth)
+    assert not graph_dedup.passes(np.concatenate([hot, pairs * (np.arange(100) % 2)]), truth)
+
+
+@pytest.mark.parametrize("pairs", [8, 200])
+def test_embedding_links_of_rare_pairs_beside_a_hot_group(spark, monkeypatch, pairs):
+    """A third of the rows in one tight group; planted pairs at the threshold, rare ones too."""
+    monkeypatch.setattr(graph_dedup, "PER_SHARD", 20)
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(1200, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[:600] = x[0] + 0.004 * draw.normal(size=(600, 64)) if pairs == 200 else x[:600]
+    x[600 : 600 + pairs] = x[900 : 900 + pairs] + 0.31 * x[1200 - pairs :][::-1]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    z = x.astype(np.float32).astype(float)
+    z /= np.sqrt((z * z).sum(1))[:, None]
+    near = z @ z.T >= 0.95
+    got = {r["vec_id"]: r["n_links"] for r in graph_dedup.near_duplicates(spark.createDataFrame(rows, VEC)).collect()}
+    assert (near[600 : 600 + pairs].sum(1) > 1).any()
+    assert [got[i] for i in range(1200)] == (near.sum(1) - 1).tolist()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
