@@ -4,8 +4,12 @@ Coarse centroids and residual codebooks are fitted on a bounded sample; every ro
 is assigned to its nearest centroid's list and its residual is coded.  A query
 probes the lists nearest to it; within a list an asymmetric distance table (query
 residual against codebooks) ranks the codes, and the best are reranked by exact
-distance on the original vectors.  How many lists are probed is found from an
-audit: the true neighbours of a bounded sample of queries, by brute force.
+distance on the original vectors; then so is every row that its code's own error
+does not rule out, so nothing among the best of a probed list is lost.  How many
+lists are probed is found from an audit: the true neighbours of a bounded sample of
+queries, by brute force.  The same queries' results audit the whole search
+afterwards, those of crowded lists (hot) apart from the others; where either falls
+short, more lists are probed.
 
 Long lists are cut into blocks, many queries into chunks, and each (list, block,
 chunk) is searched on its own; what leaves it is the ten best per query, so a list
@@ -19,6 +23,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,12 +36,16 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .vectors import k_means, nearest, sample, usable
 
+LOG = logging.getLogger(__name__)
+
 #: Bounds: rows in the fitting sample, lists, audited queries.
 MOST_SAMPLE, MOST_LISTS, MOST_AUDIT = 20_000, 1024, 64
 SUBSPACES, CODES = 16, 256
 BLOCK_ROWS, CHUNK_QUERIES = 4096, 1024
-#: Codes per list that are reranked; share of audited neighbours whose lists are probed.
+#: Codes per list that are reranked at first; share of audited neighbours whose lists are probed.
 RERANK, RECALL = 48, 0.985
+#: Least recall, of hot queries and of others, that is accepted; a list of so many times the mean rows is crowded.
+ACCEPTED, CROWDED = 0.9, 3
 
 
 @dataclass
@@ -61,6 +70,10 @@ class Quantiser:
         codes = [nearest(residual[:, a:b], book).argmin(1) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
         return lists, np.stack(codes, 1).astype(np.uint8)
 
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What codes of residuals stand for."""
+        return self.centres[lists] + np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], 1)
+
     def tables(self, q: np.ndarray, which: int) -> np.ndarray:
         """Asymmetric distances of one query's residual in a list: subspace x code."""
         r = q - self.centres[which]
@@ -152,11 +165,17 @@ def search_index(index: DataFrame, queries: DataFrame, quantiser: Quantiser, pro
         members = np.flatnonzero(ahead <= k)
         codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)[firsts]
         which, subspaces = int(key[0]), np.arange(codes.shape[1])
+        # a row is this far from what its code stands for, so its distance is within that of its code's
+        error = np.sqrt(((x[firsts] - quantiser.decode(np.full(len(firsts), which), codes)) ** 2).sum(1)) + 1e-9
         out: list[tuple[int, int, float]] = []
         for query, v in zip(wanted["query_id"].to_numpy(), matrix(wanted["v"]), strict=True):
             if len(firsts) > RERANK:
                 rough = quantiser.tables(v, which)[subspaces, codes].sum(1)
-                chosen = firsts[np.argpartition(rough, RERANK - 1)[:RERANK]]
+                ranked = np.argpartition(rough, RERANK - 1)[:RERANK]
+                exact = np.sqrt(((x[firsts[ranked]] - v) ** 2).sum(1))
+                # of different vectors k + 1, as one may be the query itself
+                most = np.partition(exact, k)[k] + 1e-9
+                chosen = firsts[np.sqrt(rough) - error <= most]
                 chosen = members[np.isin(same[members], same[chosen])]
             else:
                 chosen = members
@@ -168,6 +187,16 @@ def search_index(index: DataFrame, queries: DataFrame, quantiser: Quantiser, pro
     return first(found, k).select("query_id", "rank", "vec_id", "score")
 
 
+def recall(found: pd.DataFrame, truth: pd.DataFrame, hot: dict[int, bool]) -> dict[bool, float]:
+    """Of hot queries and of others (where there are any): the share of true neighbours (query_id, score) that are found, or as near ones."""
+    got = {q: np.sort(g.to_numpy()) for q, g in found.groupby("query_id")["score"]}
+    shares: dict[bool, list[float]] = {}
+    for q, g in truth.groupby("query_id")["score"]:
+        n = int((got.get(q, np.empty(0)) <= g.max() + 1e-9).sum())
+        shares.setdefault(hot[q], []).append(min(n, len(g)) / len(g))
+    return {kind: float(np.mean(s)) for kind, s in shares.items()}
+
+
 def search(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: for vectors whose vec_id is divisible by ``every``, the k nearest found of all others."""
     spark = embeddings.sparkSession
@@ -179,15 +208,32 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     quantiser = Quantiser.fit(fitted, rows.count())
     index = scratch.put(build_index(rows, quantiser))
     queries = index.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "v")
-    audited = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MOST_AUDIT).toPandas()
+    # rows per list, of which there are at most MOST_LISTS
+    sizes = index.groupBy("list").count().toPandas()
+    crowded = sizes["list"][sizes["count"] > CROWDED * sizes["count"].mean()].tolist()
+    asked = index.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "v", F.col("list").isin(crowded).alias("hot"))
+    drawn = [asked.filter(F.col("hot") == hot).orderBy(F.xxhash64("vec_id"), "vec_id").limit(MOST_AUDIT).toPandas() for hot in (False, True)]
+    audited = pd.concat([d for d in drawn if len(d)] or drawn[:1], ignore_index=True)
     if not len(audited):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    truth = exact_neighbours(index, audited, k).select("query_id", "list").toPandas()
+    truth = exact_neighbours(index, audited, k).select("query_id", "list", "score").toPandas()
     order = np.argsort(np.argsort(nearest(matrix(audited["v"]), quantiser.centres), axis=1, kind="stable"), axis=1)
     row = {q: i for i, q in enumerate(audited["vec_id"])}
-    needed = np.sort([order[row[q], at] + 1 for q, at in zip(truth["query_id"], truth["list"], strict=True)])
-    probes = int(needed[min(len(needed) - 1, math.ceil(RECALL * len(needed)))]) if len(needed) else 1
-    return search_index(index, queries, quantiser, probes, k)
+    hot = dict(zip(audited["vec_id"], audited["hot"], strict=True))
+    probes = 1
+    for kind in set(hot.values()):
+        needed = np.sort([order[row[q], at] + 1 for q, at in zip(truth["query_id"], truth["list"], strict=True) if hot[q] == kind])
+        if len(needed):
+            probes = max(probes, int(needed[min(len(needed) - 1, math.ceil(RECALL * len(needed)))]))
+    names = spark.createDataFrame(audited[["vec_id"]]).select(F.col("vec_id").alias("query_id"))
+    while True:
+        found = scratch.put(search_index(index, queries, quantiser, probes, k))
+        measured = recall(found.join(F.broadcast(names), "query_id").select("query_id", "score").toPandas(), truth, hot)
+        for kind, share in sorted(measured.items()):
+            LOG.info("recall of %s queries, %d lists probed: %.4f", "hot" if kind else "other", probes, share)
+        if probes >= len(quantiser.centres) or all(share >= ACCEPTED for share in measured.values()):
+            return found
+        probes *= 2
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,31 @@ def test_nearest_neighbours(spark):
     assert [r["vec_id"] for r in by[100]] == list(range(101, 111))  # ties among copies go to smaller ids
 
 
+def test_nearest_neighbours_among_near_copies(spark):
+    """Near copies share nearly the same codes; of probed lists the true neighbours are found all the same."""
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(3000, 32))
+    quantiser = ann.Quantiser.fit(x[1000:], 100)
+    x[:1000] = x[0] + 0.002 * draw.normal(size=(1000, 32))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    found = ann.search_index(ann.build_index(rows, quantiser), rows.filter("vec_id % 60 = 0"), quantiser, 10, 10)
+    by = {}
+    for r in found.collect():
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, 3000, 60):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert by[q] == set(np.argsort(d, kind="stable")[:10].tolist())
+
+
+def test_recall_is_of_hot_queries_and_others():
+    import pandas as pd
+
+    truth = pd.DataFrame({"query_id": [1, 1, 2, 2], "score": [0.1, 0.2, 0.5, 0.6]})
+    found = pd.DataFrame({"query_id": [1, 1, 2, 2], "score": [0.1, 0.3, 0.5, 0.6]})
+    assert ann.recall(found, truth, {1: True, 2: False}) == {True: 0.5, False: 1.0}
+
+
 def test_nearest_neighbours_of_little(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], VEC)
     assert [(r["rank"], r["vec_id"]) for r in ann.search(few).orderBy("rank").collect()] == [(1, 2), (2, 1)]
