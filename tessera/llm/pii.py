@@ -8,7 +8,10 @@ places.  The permutations are bijections and depend on the key and the value
 only, so equal values stay equal across documents and different ones different.
 
 Numbers and dates are validated first (check digits, ranges, calendar); what
-fails is left alone.  Kinds, in the order in which they claim a place:
+fails is left alone.  Bank accounts have the length of their country.  Digits that
+fail as one card number are cut at their separators: the first and longest run of
+groups that passes is one, and if none does, dates, ssns and phones are looked for
+within.  Kinds, in the order in which they claim a place:
 
     mail, iban, ip, iso date, numeric date, written date, ssn, phone, card
 
@@ -34,16 +37,32 @@ DEFAULT_KEY = "tessera"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 START, END = r"(?<![\w.+/-])", r"(?![\w/]|[.+-]\w)"
 MAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-IBAN = rf"{START}[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?{END}"
+#: Lengths of bank account numbers by country; of other countries, any that the general form allows.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_form(length: int, lands: str) -> str:
+    rest = rf"[ ]?[A-Z0-9]{{{length % 4}}}" if length % 4 else ""
+    return rf"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{{length // 4 - 1}}}{rest}"
+
+
+KNOWN = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+IBAN = rf"{START}(?:{'|'.join(iban_form(*f) for f in IBAN_LENGTHS.items())}|(?!{KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?){END}"
 IP = rf"{START}[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}{END}"
 NUMERIC = rf"(?<![\w./-])[0-9]{{2}}[/.][0-9]{{2}}[/.][0-9]{{4}}{END}"
 WRITTEN = rf"{START}(?:[0-9]{{1,2}} (?:{MONTHS}) [0-9]{{4}}|(?:{MONTHS}) [0-9]{{1,2}}, [0-9]{{4}}){END}"
 SSN = rf"{START}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{END}"
-PHONE = rf"(?<![\w.+/(-])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{{2}}\) ?|[2-9][0-9]{{2}}[ .-])[2-9][0-9]{{2}}[ .-][0-9]{{4}}{END}|(?<![\w+])\+[1-9][0-9]{{0,2}}(?:[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})){{2,6}}{END}"
+PHONE = rf"(?<![\w.+/-])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{{2}}\) ?|[2-9][0-9]{{2}}[ .-])[2-9][0-9]{{2}}[ .-][0-9]{{4}}{END}|(?<![\w+])\+[1-9][0-9]{{0,2}}(?:[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})){{2,6}}{END}"
 CARD = rf"{START}[0-9](?:[ -]?[0-9]){{12,18}}{END}"
 ISO = rf"{START}[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:(?=T[0-9])|{END})"
 PATTERNS = {"mail": MAIL, "iban": IBAN, "ip": IP, "iso": ISO, "numeric": NUMERIC, "written": WRITTEN, "ssn": SSN, "phone": PHONE, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What digits that are no card number can hold.
+WITHIN = f"(?:{ISO})|(?:{SSN})|(?:{PHONE})"
 #: A text without these holds nothing to replace.
 HINT = r"[0-9]|@"
 
@@ -114,7 +133,7 @@ def refill(form: Column, digits: Column) -> Column:
 
 
 def card(key: str, value: Column) -> Column:
-    """Another number that passes the same check; one that doesn't pass stays."""
+    """Another number that passes the same check; one that doesn't pass and holds none between its separators stays."""
     digits = only_digits(value)
 
     def other(body: Column) -> Column:
@@ -124,6 +143,35 @@ def card(key: str, value: Column) -> Column:
     return F.when(luhn_sum(digits, False) % 10 == 0, refill(value, new)).otherwise(value)
 
 
+def card_within(value: Column) -> Column:
+    """struct(at, n): place and length of the first, longest groups of digits that pass as a card number; null if none do."""
+    groups = F.split(value, "[ -]")
+
+    def windows(s: Column) -> Column:
+        before = F.aggregate(F.slice(groups, F.lit(1), s - 1), F.lit(1), lambda n, g: n + F.length(g) + 1)
+        ends = F.transform(F.sequence(F.size(groups), s, F.lit(-1)), lambda e: F.array_join(F.slice(groups, s, e - s + 1), " "))
+        passing = F.filter(ends, lambda w: F.length(only_digits(w)).between(13, 19) & (luhn_sum(only_digits(w), False) % 10 == 0))
+        return F.transform(passing, lambda w: F.struct(before.alias("at"), F.length(w).alias("n")))
+
+    return F.get(F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), windows)), F.lit(0))
+
+
+def digit_groups(key: str, value: Column) -> Column:
+    """What stands in for a match of CARD: a card number whole or within, else what else its groups hold."""
+
+    def cut(w: Column) -> Column:
+        at, n = w["at"], w["n"]
+        return F.concat(F.substring(value, F.lit(1), at - 1), card(key, F.substring(value, at, n)), F.substring(value, at + n, F.length(value)))
+
+    smaller = F.transform(
+        F.regexp_extract_all(value, F.lit(WITHIN), F.lit(0)),
+        lambda m: F.when(m.rlike(rf"\A(?:{ISO})\z"), dated(key, m, *written_as(m, "yyyy-MM-dd"))).when(m.rlike(rf"\A(?:{SSN})\z"), ssn(key, m)).otherwise(phone(key, m)),
+    )
+    parts = F.array_join(F.zip_with(F.split(value, WITHIN, -1), smaller, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    inner = F.element_at(F.transform(F.array(card_within(value)), lambda w: F.when(w.isNull(), parts).otherwise(cut(w))), 1)
+    return F.when(luhn_sum(only_digits(value), False) % 10 == 0, card(key, value)).when(value.rlike("[ -]"), inner).otherwise(value)
+
+
 def mod97(text: Column) -> Column:
     """The remainder of an IBAN's characters, letters as 10 to 35, read as one number."""
     value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
@@ -226,7 +274,7 @@ def pseudonym(key: str, value: Column) -> Column:
         .when(alone("written"), written_date(key, value))
         .when(alone("ssn"), ssn(key, value))
         .when(alone("phone"), phone(key, value))
-        .otherwise(card(key, value))
+        .otherwise(digit_groups(key, value))
     )
 
 

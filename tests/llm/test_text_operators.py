@@ -143,6 +143,24 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert other["pii_found"][0]["new"] != got[0]["pii_found"][0]["new"]
 
 
+def test_pii_beside_other_groups(spark):
+    texts = [
+        "card 4111 1111 1111 1111 123 exp", "4111111111111111 12 times", "12 4111111111111111 exp", "4111-1111-1111-1111",
+        "ES91 2100 0418 4502 0005 1332 BIC", "AT61 1904 3002 3457 3201 2024", "AT61 1904 3002 3457 3201 4111 1111 1111 1111", "call (415-555-2671)", "12 2024-02-29 1234", "4111 1111 1111 1112 123",
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs(spark, texts), "key").collect() if r["doc_id"] is not None}
+    same = re.sub(r"\D", "", got[3])
+    assert same != "4" + "1" * 15 and luhn(same)
+    spaced = " ".join(same[i : i + 4] for i in range(0, 16, 4))
+    assert got[0] == f"card {spaced} 123 exp" and got[1] == f"{same} 12 times" and got[2] == f"12 {same} exp"
+    assert "2100 0418" not in got[4] and got[4].startswith("ES") and got[4].endswith(" BIC")
+    assert "1904 3002" not in got[5] and got[5].endswith(" 2024")
+    assert "1904 3002" not in got[6] and got[6].endswith(" " + spaced)
+    assert re.fullmatch(r"call \([2-9]\d\d-[2-9]\d\d-\d{4}\)", got[7]) and "415-555-2671" not in got[7]
+    assert re.fullmatch(r"12 20\d\d-\d\d-\d\d 1234", got[8]) and "2024-02-29" not in got[8]
+    assert got[9] == texts[9]
+
+
 def test_permutations_are_bijections(spark):
     n = spark.range(84)
     pairs = n.select(pii.feistel("k", "t", F.floor(F.col("id") / 12), F.col("id") % 12, F.lit(7), F.lit(12)).alias("p")).select("p.l", "p.r").distinct()
