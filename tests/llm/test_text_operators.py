@@ -260,6 +260,36 @@ def test_pieces_cover_each_document(spark):
         packing.pack(docs(spark, texts), packing.default_tokenizer(), longest=1000)
 
 
+def test_ids_are_the_tokenizers_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    encode = packing.word_encoder(packing.default_tokenizer())
+    draw = random.Random(4)
+    marks, spaces = packing.TAIL + "'\"-_/<>=@~`", " \n\t\xa0\u2003\u2028\x85\x1c\u200b\u180e\ufeff\u3000"
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEZ" * 2 + "éÉüßñÑŒœŠšİıĲǅǰŉÅÇ" + "\u0301\u0307\u0327" + "дЖяΣσςαאع日本語한" + "012" + "🎉ﬁ①²"
+    known = ["<|endoftext|>", "<|startoftext|>", "don't", "It's", "'ll", "thonre", "straße", "İ!", "e\u0301.", "Σ."]
+
+    def text():
+        parts = []
+        for _ in range(draw.randint(0, 5)):
+            word = draw.choice(known) if draw.random() < 0.1 else "".join(draw.choices(letters, k=draw.randint(0, 6)))
+            parts.append(word + "".join(draw.choices(marks, k=draw.choice((0, 0, 1, 2)))))
+        return "".join(p + draw.choice(spaces) for p in parts)
+
+    texts = ["İ!", *(text() for _ in range(50_000))]
+    wrong = [t for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True) if array("I", e.ids).tobytes() != encode(t)]
+    assert not wrong, wrong[:5]
+
+
+def test_buckets_hold_pieces_of_one_length(spark, tmp_path):
+    pieces = packing.pack(docs(spark, ["one two three", LONG, ""]), packing.default_tokenizer(), longest=1024)
+    packing.write_buckets(pieces, f"{tmp_path}/buckets", files=4)
+    back = spark.read.parquet(f"{tmp_path}/buckets")
+    assert back.count() == pieces.count()
+    assert back.filter("length <> shiftleft(1, bucket)").count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 4095, 4096, 4097, 100_000])
 def test_power_of_two_lengths(n):
     parts = list(packing.power_of_two_lengths(n))
