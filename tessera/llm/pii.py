@@ -3,9 +3,12 @@ r"""Format-preserving Feistel pseudonyms for personal data (operator 3); DataFra
 Found values are replaced by keyed permutations of themselves within their
 format: a card number stays a card number with a right check digit, a date stays
 a date of the same century written the same way, an address of the internet four
-numbers up to 255, a mail address one with as many letters and digits in the same
-places.  The permutations are bijections and depend on the key and the value
-only, so equal values stay equal across documents and different ones different.
+numbers up to 255 (parts written with leading zeros stay such parts of the same
+width), a mail address one with as many letters and digits in the same places.  The
+permutations are bijections and depend on the key (HMAC-SHA-256 drives the Feistel
+rounds) and the value only, so equal values stay equal across documents and
+different ones different; one date or phone number written in two ways has one
+pseudonym, written in these two ways.
 
 Numbers and dates are validated first (check digits, ranges, calendar); what
 fails is left alone.  Bank accounts have the length of their country.  Digits that
@@ -13,15 +16,21 @@ fail as one card number are cut at their separators: the first and longest run o
 groups that passes is one, and if none does, dates, ssns and phones are looked for
 within.  Kinds, in the order in which they claim a place:
 
-    mail, iban, ip, iso date, numeric date, written date, ssn, phone, card
+    mail, iban, ip, year-first date (2024-03-05, 2024/3/5), numeric date (05.03.2024,
+    3/5/2024, 05-03-2024; day first if that is a date, else month first), written date
+    (3 March 2024, 3rd mar. 2024, MARCH 3, 2024), ssn, phone (ten digits in a row too),
+    card
 
-Defined cases: a null text stays null (counts 0), an empty one empty; rows and
-other columns are kept as they are, repeated rows too; an empty table gives an
-empty result.  Each row is handled where it is read; nothing is shuffled.
+Defined cases: a null text stays null (counts 0), an empty one empty; texts of any
+length are read whole; rows and other columns are kept as they are, repeated rows
+too; an empty table gives an empty result; an empty key is an error.  Each row is
+handled where it is read; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,10 +40,15 @@ from .common import table
 
 #: Rounds of each Feistel network; even.
 ROUNDS = 8
-#: Used where the session sets no tessera.pii.key; set one in production.
+#: Steps of a walk along a permutation's cycle until it is back within a format.
+WALK = 64
+#: Used, with a warning, where the session sets no tessera.pii.key: for tests only, as anyone can invert it.
 DEFAULT_KEY = "tessera"
+LOG = logging.getLogger(__name__)
 
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+MONTH = rf"(?i:{MONTHS}|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)"
+ORDINAL = r"(?:(?i:st|nd|rd|th))?"
 START, END = r"(?<![\w.+/-])", r"(?![\w/]|[.+-]\w)"
 MAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 #: Lengths of bank account numbers by country; of other countries, any that the general form allows.
@@ -53,24 +67,35 @@ def iban_form(length: int, lands: str) -> str:
 KNOWN = "|".join(" ".join(IBAN_LENGTHS.values()).split())
 IBAN = rf"{START}(?:{'|'.join(iban_form(*f) for f in IBAN_LENGTHS.items())}|(?!{KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?){END}"
 IP = rf"{START}[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}{END}"
-NUMERIC = rf"(?<![\w./-])[0-9]{{2}}[/.][0-9]{{2}}[/.][0-9]{{4}}{END}"
-WRITTEN = rf"{START}(?:[0-9]{{1,2}} (?:{MONTHS}) [0-9]{{4}}|(?:{MONTHS}) [0-9]{{1,2}}, [0-9]{{4}}){END}"
+NUMERIC = rf"(?<![\w./-])(?:[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}|[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}){END}"
+WRITTEN = rf"{START}(?:[0-9]{{1,2}}{ORDINAL} {MONTH}\.?,? [0-9]{{4}}|{MONTH}\.? [0-9]{{1,2}}{ORDINAL},? [0-9]{{4}}){END}"
 SSN = rf"{START}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{END}"
-PHONE = rf"(?<![\w.+/-])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{{2}}\) ?|[2-9][0-9]{{2}}[ .-])[2-9][0-9]{{2}}[ .-][0-9]{{4}}{END}|(?<![\w+])\+[1-9][0-9]{{0,2}}(?:[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})){{2,6}}{END}"
+PHONE = rf"(?<![\w.+/-])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{{2}}\) ?|[2-9][0-9]{{2}}[ .-])[2-9][0-9]{{2}}[ .-][0-9]{{4}}{END}|{START}[2-9][0-9]{{2}}[2-9][0-9]{{6}}{END}|(?<![\w+])\+[1-9][0-9]{{0,2}}(?:[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})){{2,6}}{END}"
 CARD = rf"{START}[0-9](?:[ -]?[0-9]){{12,18}}{END}"
-ISO = rf"{START}[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:(?=T[0-9])|{END})"
+ISO = rf"{START}(?:[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}})(?:(?=T[0-9])|{END})"
 PATTERNS = {"mail": MAIL, "iban": IBAN, "ip": IP, "iso": ISO, "numeric": NUMERIC, "written": WRITTEN, "ssn": SSN, "phone": PHONE, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What digits that are no card number can hold.
-WITHIN = f"(?:{ISO})|(?:{SSN})|(?:{PHONE})"
+WITHIN = f"(?:{ISO})|(?:{NUMERIC})|(?:{SSN})|(?:{PHONE})"
 #: A text without these holds nothing to replace.
 HINT = r"[0-9]|@"
 
 
+def hmac_pads(key: str) -> tuple[bytes, bytes]:
+    """The inner and outer block of HMAC-SHA-256."""
+    if not key:
+        raise ValueError("a key is needed")
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
+
+
 def mixed(key: str, tag: str, value: Column, *more: Column) -> Column:
-    """A keyed pseudo-random number from 0 to 2^52 - 1."""
-    text = F.concat_ws("|", F.lit(key), F.lit(tag), *(m.cast("string") for m in more), value.cast("string"))
-    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long")
+    """A keyed pseudo-random number from 0 to 2^52 - 1: the first 13 hexadecimal digits of the HMAC of tag|more|...|value."""
+    inner, outer = hmac_pads(key)
+    text = F.concat_ws("|", F.lit(tag), *(m.cast("string") for m in more), value.cast("string"))
+    within = F.unhex(F.sha2(F.concat(F.lit(inner), F.encode(text, "UTF-8")), 256))
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(outer), within), 256), 1, 13), 16, 10).cast("long")
 
 
 def feistel(key: str, tag: str, left: Column, right: Column, n_left: Column, n_right: Column) -> Column:
@@ -165,7 +190,7 @@ def digit_groups(key: str, value: Column) -> Column:
 
     smaller = F.transform(
         F.regexp_extract_all(value, F.lit(WITHIN), F.lit(0)),
-        lambda m: F.when(m.rlike(rf"\A(?:{ISO})\z"), dated(key, m, *written_as(m, "yyyy-MM-dd"))).when(m.rlike(rf"\A(?:{SSN})\z"), ssn(key, m)).otherwise(phone(key, m)),
+        lambda m: F.when(m.rlike(rf"\A(?:{ISO})\z"), year_first_date(key, m)).when(m.rlike(rf"\A(?:{NUMERIC})\z"), numeric_date(key, m)).when(m.rlike(rf"\A(?:{SSN})\z"), ssn(key, m)).otherwise(phone(key, m)),
     )
     parts = F.array_join(F.zip_with(F.split(value, WITHIN, -1), smaller, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
     inner = F.element_at(F.transform(F.array(card_within(value)), lambda w: F.when(w.isNull(), parts).otherwise(cut(w))), 1)
@@ -192,11 +217,20 @@ def iban(key: str, value: Column) -> Column:
 
 
 def ip(key: str, value: Column) -> Column:
-    part = lambda i: F.element_at(F.split(value, r"\."), i).cast("long")
-    new = feistel(key, "ip", part(1) * 256 + part(2), part(3) * 256 + part(4), F.lit(65536), F.lit(65536))
-    text = F.element_at(F.transform(F.array(new), lambda s: F.concat_ws(".", F.floor(s["l"] / 256).cast("string"), (s["l"] % 256).cast("string"), F.floor(s["r"] / 256).cast("string"), (s["r"] % 256).cast("string"))), 1)
-    valid = (part(1) < 256) & (part(2) < 256) & (part(3) < 256) & (part(4) < 256)
-    return F.when(valid, text).otherwise(value)
+    """Parts without leading zeros are numbers below 256; with them, numbers of one digit less than their width."""
+    text = lambda i: F.element_at(F.split(value, r"\."), i)
+    number = lambda i: text(i).cast("long")
+    led = lambda i: text(i).startswith("0") & (F.length(text(i)) > 1)
+    size = lambda i: F.when(led(i), F.when(F.length(text(i)) == 3, 100).otherwise(10)).otherwise(256)
+    new = feistel(key, "ip", number(1) * size(2) + number(2), number(3) * size(4) + number(4), size(1) * size(2), size(3) * size(4))
+
+    def written(i: int, n: Column) -> Column:
+        return F.when(led(i), F.lpad(n.cast("string"), F.length(text(i)), F.lit("0"))).otherwise(n.cast("string"))
+
+    four = lambda s: (F.floor(s["l"] / size(2)), s["l"] % size(2), F.floor(s["r"] / size(4)), s["r"] % size(4))
+    made = F.element_at(F.transform(F.array(new), lambda s: F.concat_ws(".", *(written(i, n) for i, n in enumerate(four(s), 1)))), 1)
+    valid = (number(1) < 256) & (number(2) < 256) & (number(3) < 256) & (number(4) < 256)
+    return F.when(valid, made).otherwise(value)
 
 
 def other_day(key: str, day: Column) -> Column:
@@ -210,26 +244,78 @@ def other_day(key: str, day: Column) -> Column:
     return F.element_at(F.transform(F.array(new), lambda s: F.date_add(first, (s["l"] * rows + s["r"]).cast("int"))), 1)
 
 
-def dated(key: str, value: Column, day: Column, write: Callable[[Column], Column]) -> Column:
-    return F.when(day.isNull() | (F.year(day) < 1000), value).otherwise(F.element_at(F.transform(F.array(other_day(key, day)), write), 1))
+def dated(key: str, value: Column, day: Column, write: Callable[[Column], Column], fits: Callable[[Column], Column] | None = None) -> Column:
+    """``value``, the date ``day``, with another day written in its place; one that ``fits``, as ``day`` does."""
+    if fits is None:
+        new = other_day(key, day)
+    else:  # on along the cycle until a day fits again: still a bijection, of the days that fit
+        start = F.struct(day.alias("d"), F.lit(False).alias("done"))
+        on = lambda s: F.element_at(F.transform(F.array(other_day(key, s["d"])), lambda d: F.struct(d.alias("d"), fits(d).alias("done"))), 1)
+        new = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda s, _: F.when(s["done"], s).otherwise(on(s)), lambda s: s["d"])
+    return F.when(day.isNull() | (F.year(day) < 1000), value).otherwise(F.element_at(F.transform(F.array(new), write), 1))
+
+
+def as_day(year: Column, month: Column, day: Column) -> Column:
+    """The date of these numbers as texts or numbers; null if there is none."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.concat_ws("-", year, two(month), two(day)).try_cast("date")
 
 
-def written_as(value: Column, form: str) -> tuple[Column, Callable[[Column], Column]]:
-    return F.try_to_timestamp(value, F.lit(form)).cast("date"), lambda d: F.date_format(d, form)
+def part_of(value: Column, i: int) -> Column:
+    return F.element_at(F.split(value, "[-/.]"), i)
+
+
+def like(part: Column, number: Column, padded: Column) -> Column:
+    """A day's or month's number, with two digits where the date was ``padded``."""
+    return F.when(padded, F.lpad(number.cast("string"), 2, "0")).otherwise(number.cast("string"))
+
+
+def year_first_date(key: str, value: Column) -> Column:
+    year, month, day = (part_of(value, i) for i in (1, 2, 3))
+    padded = (F.length(month) == 2) & (F.length(day) == 2)
+    sep = F.substring(value, 5, 1)
+    write = lambda d: F.concat(F.year(d).cast("string"), sep, like(month, F.month(d), padded), sep, like(day, F.day(d), padded))
+    return dated(key, value, as_day(year, month, day), write)
 
 
 def numeric_date(key: str, value: Column) -> Column:
-    """Day first if that is a date, else month first."""
-    sep = F.substring(value, 3, 1)
-    plain = F.regexp_replace(value, r"\.", "/")
-    day, month = F.try_to_timestamp(plain, F.lit("dd/MM/yyyy")).cast("date"), F.try_to_timestamp(plain, F.lit("MM/dd/yyyy")).cast("date")
-    as_it_was = lambda form: lambda d: F.replace(F.date_format(d, form), F.lit("/"), sep)
-    return F.when(day.isNotNull(), dated(key, value, day, as_it_was("dd/MM/yyyy"))).otherwise(dated(key, value, month, as_it_was("MM/dd/yyyy")))
+    """Day first if that is a date, else month first (and then the pseudonym too is a date only if read so)."""
+    one, two, year = (part_of(value, i) for i in (1, 2, 3))
+    padded = (F.length(one) == 2) & (F.length(two) == 2)
+    sep = F.substring(value, F.length(one) + 1, F.lit(1))
+
+    def write(day_first: bool) -> Callable[[Column], Column]:
+        parts = lambda d: (F.day(d), F.month(d)) if day_first else (F.month(d), F.day(d))
+        return lambda d: F.concat(like(one, parts(d)[0], padded), sep, like(two, parts(d)[1], padded), sep, F.year(d).cast("string"))
+
+    day_first, month_first = as_day(year, two, one), as_day(year, one, two)
+    return F.when(day_first.isNotNull(), dated(key, value, day_first, write(True))).otherwise(dated(key, value, month_first, write(False), lambda d: F.day(d) > 12))
 
 
 def written_date(key: str, value: Column) -> Column:
-    first, second = written_as(value, "d MMMM yyyy"), written_as(value, "MMMM d, yyyy")
-    return F.when(value.rlike("^[0-9]"), dated(key, value, *first)).otherwise(dated(key, value, *second))
+    """The month's name stays short or long, its letters as large; so do ordinals and marks."""
+    form = rf"^(?:([0-9]{{1,2}})({ORDINAL}) )?({MONTH})(\.?)(,?) (?:([0-9]{{1,2}})({ORDINAL})(,?) )?([0-9]{{4}})$"
+    group = lambda i: F.regexp_extract(value, form, i)
+    day_first = group(1) != ""
+    day, ordinal, name = F.when(day_first, group(1)).otherwise(group(6)), F.when(day_first, group(2)).otherwise(group(7)), group(3)
+    short = F.transform(F.array(*map(F.lit, MONTHS.lower().split("|"))), lambda m: F.substring(m, 1, 3))
+    month = F.array_position(short, F.substring(F.lower(name), 1, 3))
+    padded = day.startswith("0")
+
+    def write(d: Column) -> Column:
+        full = F.element_at(F.split(F.lit(MONTHS), r"\|"), F.month(d))
+        long = (F.length(name) > 4) | F.lower(name).isin("may", "june", "july")
+        plain = F.when(long, full).otherwise(F.substring(full, 1, 3))
+        named = F.when(name == F.upper(name), F.upper(plain)).when(name == F.lower(name), F.lower(plain)).otherwise(plain)
+        n = F.day(d)
+        nth = F.when(n.isin(11, 12, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+        nth = F.when(ordinal == "", "").when(ordinal == F.upper(ordinal), F.upper(nth)).otherwise(nth)
+        number = F.concat(like(day, n, padded), nth)
+        first = F.concat(number, F.lit(" "), named, group(4), group(5), F.lit(" "), F.year(d).cast("string"))
+        last = F.concat(named, group(4), F.lit(" "), number, group(8), F.lit(" "), F.year(d).cast("string"))
+        return F.when(day_first, first).otherwise(last)
+
+    return dated(key, value, as_day(group(9), month, day), write)
 
 
 def ssn(key: str, value: Column) -> Column:
@@ -269,7 +355,7 @@ def pseudonym(key: str, value: Column) -> Column:
         F.when(F.contains(value, F.lit("@")), mail(key, value))
         .when(alone("iban"), iban(key, value))
         .when(alone("ip"), ip(key, value))
-        .when(alone("iso"), dated(key, value, *written_as(value, "yyyy-MM-dd")))
+        .when(alone("iso"), year_first_date(key, value))
         .when(alone("numeric"), numeric_date(key, value))
         .when(alone("written"), written_date(key, value))
         .when(alone("ssn"), ssn(key, value))
@@ -292,11 +378,15 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     pieces = F.split(text, ANY, -1)
     filled = F.array_join(F.zip_with(pieces, F.col("pii_found"), lambda p, m: F.concat(p, F.coalesce(m["new"], F.lit("")))), "")
     order = [F.when(F.size("pii_found") > 0, filled).otherwise(text).alias(c) if c == column else F.col(c) for c in docs.columns if c != "pii_found"]
-    return docs.select("*", pairs.alias("pii_found")) .select(*order, "pii_found") if "pii_found" not in docs.columns else pseudonymise(docs.drop("pii_found"), key, column)
+    return docs.select("*", pairs.alias("pii_found")).select(*order, "pii_found") if "pii_found" not in docs.columns else pseudonymise(docs.drop("pii_found"), key, column)
 
 
 def session_key(spark: SparkSession) -> str:
-    return spark.conf.get("tessera.pii.key", None) or DEFAULT_KEY
+    """The session's tessera.pii.key; without one, a key for tests, and a warning."""
+    key = spark.conf.get("tessera.pii.key", None)
+    if not key:
+        LOG.warning("tessera.pii.key is not set: pseudonyms are made with a known key and can be inverted by anyone")
+    return key or DEFAULT_KEY
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
