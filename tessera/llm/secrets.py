@@ -1,16 +1,22 @@
 r"""Secret scans through a trigram inverted index (operator 8); DataFrame functions only.
 
 A Boolean trigram query is derived from each rule's pattern: what trigrams any
-match must hold.  The index has, for the trigrams of all rules, the documents
-whose lower-cased text holds them; a rule's postings are intersected and united
-as its query says, and only the documents that remain are read again and
-verified with the pattern.  A rule whose query is empty (such as a bare run of
-hexadecimal digits) scans every document.
-
-A document is known by its doc_id and the hash of its text, so rows that repeat
-and rows without a doc_id are kept apart or share results as their texts do.
+match must hold.  One pass over the lower-cased texts finds the trigrams that any
+rule asks for; grouped by trigram, the documents that hold it are its posting list.
+The lists are cut into blocks of documents (every list of a block holds the same
+range of keys, at most about ``BLOCK_DOCS`` of them), so that no list grows with the
+input and lists of one block are intersected and united, as a rule's query says,
+where they lie.  Only documents that remain are read again and verified with the
+pattern.  A rule whose query is empty (such as a bare run of hexadecimal digits)
+scans every document.
+
+A posting is a 64-bit hash of doc_id and text.  Rows that repeat share it; should two
+documents share it, each is verified with what either was asked for, which can add
+nothing false.  Verified spans go back by doc_id and hash of the text.
 Defined cases: a null text is empty and has no spans; matches of one kind don't
-overlap, matches of different kinds may; an empty table gives an empty result.
+overlap, matches of different kinds may; texts of any length are searched whole, in
+time that grows with their length and number of matches; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -175,32 +181,55 @@ def leaves(query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(leaves, query[1]))
 
 
-def holds(query, grams: Column) -> Column:
-    """The query over a column with the array of the document's trigrams."""
+def holds(query, lists: Column) -> Column:
+    """The query over a block's posting lists (map of trigram to sorted keys): the keys that satisfy it."""
     if isinstance(query, str):
-        return F.array_contains(grams, query)
-    parts = [holds(q, grams) for q in sorted(query[1], key=str)]
-    return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), parts)
+        return F.coalesce(F.try_element_at(lists, F.lit(query)), F.array().cast("array<long>"))
+    parts = [holds(q, lists) for q in sorted(query[1], key=str)]
+    return reduce(F.array_intersect if query[0] == "and" else F.array_union, parts)
 
 
 # --- Index, intersection, verification ----------------------------------------
 
+#: Documents that a block of postings holds, about; numbers of an array that are summed up at a time.
+BLOCK_DOCS, CHUNK = 8192, 256
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(numbers: Column) -> Column:
+    """The running sums of a non-empty array of numbers, chunk by chunk: the time is about linear."""
+    zero = F.lit(0).cast("long")
+
+    def sums(values: Column, start: Column) -> Column:
+        first = F.struct(start.cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+        step = lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"] + v)).alias("out"))
+        return F.aggregate(values, first, step, lambda s: s["out"])
+
+    def chunked(values: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / CHUNK).cast("int") - 1), lambda i: F.slice(values, i * CHUNK + 1, F.lit(CHUNK)))
+        return bound(chunks, lambda parts: bound(sums(F.transform(parts, lambda p: F.aggregate(p, zero, lambda s, v: s + v)), zero), lambda upto: F.flatten(F.transform(parts, lambda p, i: sums(p, F.when(i == 0, zero).otherwise(F.get(upto, i - 1)))))))
+
+    return bound(numbers, chunked)
+
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
-    """array of struct(start, kind_order, kind, end): the rule's matches, as code points of the text."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    between = F.split(text, rule.pattern, -1)
-    sizes = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size")))
-    ends = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda s, x: F.struct((s["at"] + x["gap"] + x["size"]).alias("at"), F.concat(s["ends"], F.array(s["at"] + x["gap"] + x["size"])).alias("ends")),
-        lambda s: s["ends"],
-    )
-    both = F.zip_with(ends, F.zip_with(found, value, lambda m, v: F.struct(F.length(m).alias("size"), F.length(v).alias("kept"))), lambda e, m: F.struct((e - m["size"]).alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), e.alias("end"), m["kept"].alias("kept")))
-    kept = F.filter(both, lambda s: s["kept"] >= rule.least)
-    return F.when(text.rlike(rule.pattern), F.transform(kept, lambda s: F.struct(s["start"], s["kind_order"], s["kind"], s["end"])))
+    """array of struct(start, kind_order, kind, end): the rule's matches, as code points of the text; null if there are none.
+
+    The text is searched once, and again for what lies between if there are matches.
+    """
+    kept = (lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least) if rule.group else (lambda m: F.length(m) >= rule.least)
+
+    def placed(found: Column) -> Column:
+        between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found))
+        ends = running(F.zip_with(between, found, lambda g, m: (F.length(g) + F.length(m)).cast("long")))
+        span = lambda m, e: F.when(kept(m), F.struct((e - F.length(m)).cast("int").alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), e.cast("int").alias("end")))
+        return F.when(F.size(found) > 0, F.array_compact(F.zip_with(found, ends, span)))
+
+    return bound(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), placed)
 
 
 SPAN = "array<struct<start:int,kind_order:int,kind:string,end:int>>"
@@ -214,40 +243,58 @@ def some(parts: list[Column]) -> Column:
     return F.concat(*(F.coalesce(p, no_spans()) for p in parts)) if parts else no_spans()
 
 
+def any_gram(grams: list[str]) -> str:
+    """A pattern that finds, at every place, the one of the trigrams that begins there: its group 1."""
+    by_first: dict[str, list[str]] = {}
+    for g in grams:
+        by_first.setdefault(g[0], []).append(re.escape(g[1:]))
+    firsts = "".join(re.escape(c) for c in sorted(by_first))
+    return f"(?=[{firsts}])(?=({'|'.join(f'{re.escape(c)}(?:{chr(124).join(rest)})' for c, rest in sorted(by_first.items()))}))"
+
+
+def known_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), th (hash of the text) and key (of both) of documents."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th"))
+    return rows.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "th"))
+
+
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document: doc_id, th (hash of its text), grams (its trigrams that rules ask for), full (spans of rules without a query)."""
+    """One row per document: doc_id, th, key, grams (its trigrams that rules ask for), full (spans of rules without a query)."""
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = sorted(set().union(*map(leaves, queries)))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.lower(text).alias("low"))
-    grams = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), g) for g in wanted))) if wanted else F.array().cast("array<string>")
+    grams = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_gram(wanted)), F.lit(1))) if wanted else F.array().cast("array<string>")
     full = some([spans(F.col("text"), r, i) for i, (r, q) in enumerate(zip(rules, queries, strict=True)) if q is None])
-    return rows.select("doc_id", F.xxhash64("text").alias("th"), grams.alias("grams"), full.alias("full"))
+    return known_rows(docs).select("doc_id", "th", "key", grams.alias("grams"), full.alias("full"))
+
+
+def postings(indexed: DataFrame) -> DataFrame:
+    """block, gram, keys (sorted): the inverted index, each trigram's list in blocks."""
+    blocks = max(1, -(-indexed.count() // BLOCK_DOCS))
+    each = indexed.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.explode("grams").alias("gram"), "key")
+    return each.groupBy("block", "gram").agg(F.array_sort(F.collect_set("key")).alias("keys"))
 
 
-def candidates(indexed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Documents that some rule's query leaves: doc_id, th, asked (the rules' places)."""
-    postings = indexed.select("doc_id", "th", F.explode("grams").alias("gram"))
-    held = postings.groupBy("doc_id", "th").agg(F.collect_set("gram").alias("held"))
-    asked = [F.when(holds(q, F.col("held")), i) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None]
-    return held.select("doc_id", "th", F.array_compact(F.array(*asked)).alias("asked")).filter(F.size("asked") > 0)
+def candidates(lists: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Documents that some rule's query leaves: key, asked (the rules' places); posting lists of a block are intersected."""
+    held = lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("lists"))  # as many as there are trigrams in rules
+    left = F.array(*(F.struct(F.lit(i).alias("rule"), holds(q, F.col("lists")).alias("keys")) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None))
+    each = held.select(F.explode(left).alias("l")).select("l.rule", F.explode("l.keys").alias("key"))
+    return each.groupBy("key").agg(F.array_sort(F.collect_set("rule")).alias("asked"))
 
 
 def verify(docs: DataFrame, chosen: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, th, checked (spans): the texts of candidates, searched with the patterns that asked for them."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th"))
-    chosen = chosen.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), "asked")
-    hit = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")))
+    hit = known_rows(docs).join(chosen.withColumnRenamed("key", "c_key"), F.col("key") == F.col("c_key"))
     parts = [F.when(F.array_contains("asked", i), spans(F.col("text"), r, i)) for i, r in enumerate(rules) if trigram_query(r.pattern) is not None]
-    return hit.select("doc_id", "th", some(parts).alias("checked")).dropDuplicates(["doc_id", "th"])
+    return hit.select("doc_id", "th", some(parts).alias("checked")).filter(F.size("checked") > 0).dropDuplicates(["doc_id", "th"])
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and spans (sorted array of struct(start, kind_order, kind, end)) of every document (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "secrets")
     indexed = scratch.put(index(docs, rules))
-    chosen = scratch.put(candidates(indexed, rules))
+    chosen = scratch.put(candidates(postings(indexed), rules))
     checked = scratch.put(verify(docs, joinable(chosen), rules)).select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), "checked")
     scratch.drop(chosen)
     every = indexed.select("doc_id", "th", "full").join(joinable(checked), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")), "left")

@@ -226,6 +226,39 @@ def test_secrets_against_brute_force(spark):
     assert secrets.scan(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_many_spans_of_one_text_take_linear_time(spark):
+    import time
+
+    texts = ["".join(f"{i:024x} " for i in range(n)) + "password=hunter22 " * 500 for n in (1000, 64_000)]
+    took = []
+    for t in texts:
+        began = time.time()
+        got = secrets.scan(docs(spark, [t, "x"])).filter("doc_id = 0").select(secrets.listed(F.col("spans")).alias("all")).first()["all"]
+        took.append(time.time() - began)
+        assert got == brute(t)
+    assert took[1] < took[0] + 10
+
+
+def test_posting_lists_are_intersected(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK_DOCS", 3)
+    texts = ["pass word", "password=hunter22", "AKIA" + "A" * 16, "aki kia", "passwd: x", "nothing", "secret token apikey"] * 3
+    indexed = secrets.index(docs(spark, texts))
+    lists = secrets.postings(indexed)
+    assert lists.select("block").distinct().count() > 1 and lists.filter("size(keys) > 9").count() == 0
+    got = {r["key"]: r["asked"] for r in secrets.candidates(lists).collect()}
+    by_key = {r["key"]: r["doc_id"] or 0 for r in indexed.collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        grams = {t.lower()[j : j + 3] for j in range(len(t) - 2)}
+
+        def satisfied(q, grams=grams):
+            return q in grams if isinstance(q, str) else (all if q[0] == "and" else any)(map(satisfied, q[1]))
+
+        if asked := [n for n, r in enumerate(secrets.RULES) if (q := secrets.trigram_query(r.pattern)) is not None and satisfied(q)]:
+            want[i] = asked
+    assert {by_key[k]: a for k, a in got.items()} == want
+
+
 def test_trigram_queries():
     query = secrets.trigram_query
     assert query(r"[0-9a-f]{24,}") is None
