@@ -1,6 +1,7 @@
 """MinHash near-dedup with DartMinHash signatures (operator 9).
 
-Documents are sets (or weighted sets) of five-word shingles.  A signature throws
+Documents are weighted sets of five-word shingles: a shingle weighs as often as it
+occurs (``weighted=False``: 1).  A signature throws
 darts: every element has a hashed Poisson process of darts over its weight and a
 rank; darts that fall within the element's weight count, and each coordinate of
 the signature keeps the dart of lowest rank that hits it.  Two documents agree in
@@ -38,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, joinable, table
+from .common import Scratch, joinable, spread_join, table
 from .components import connected
 
 WORDS, SIMILAR = 5, 0.8
@@ -48,6 +49,8 @@ BANDS, ROWS = 25, 5
 #: small for SPLITS such blocks a side are cut into smaller ones, of at least these sizes.
 BLOCK_LEFT, BLOCK_RIGHT = 1024, 3072
 SMALL_LEFT, SMALL_RIGHT, SPLITS = 256, 512, 8
+#: Members that a task compares with their leader at most, about.
+GROUP_ROWS = 256
 #: Shingles looked at together when a block is compared.
 COLUMNS = 2048
 
@@ -282,26 +285,28 @@ def compare_groups(members: DataFrame, similar: float) -> DataFrame:
     return members.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInPandas(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), kept (it is that one), one row per row of documents (doc_id, text).
 
-    ``weighted``: similarity of the multisets of shingles instead of the sets.
+    Similarity is sum of least weights by sum of greatest; ``weighted=False``: of the sets.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     signs = scratch.put(sign(docs, words, bands, rows, weighted))
     reps = scratch.put(signs.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
     # buckets with several documents
     banded_rows = reps.select("rep", F.explode("bands").alias("band"))
-    sizes = banded_rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = scratch.put(banded_rows.join(sizes.withColumnRenamed("band", "b"), F.col("band") == F.col("b")).select("rep", "band", "size"))
-    known = shared.groupBy("rep").agg(F.sum("size").alias("renown"))
-    known = scratch.put(known)
+    sizes = scratch.put(banded_rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select(F.col("band").alias("k"), F.col("size").alias("n")))
+    by_size = sizes.select(F.col("k").alias("b"), F.col("n").alias("size"))
+    shared = scratch.put(spread_join(banded_rows, by_size, ("band", "b"), sizes, ["rep"]).select("rep", "band", "size"))
+    known = scratch.put(shared.groupBy("rep").agg(F.sum("size").alias("renown")))
     ranked = shared.join(known.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("rep", "band", F.struct(F.col("renown"), (-F.col("rep")).alias("r")).alias("rank"))
     leaders = ranked.groupBy("band").agg((-F.max("rank")["r"]).alias("leader")).withColumnRenamed("band", "b")
-    pairs = shared.join(leaders, F.col("band") == F.col("b")).filter("rep != leader").select("rep", "leader").distinct()
+    pairs = scratch.put(spread_join(shared, leaders, ("band", "b"), sizes, ["rep"]).filter("rep != leader").select("rep", "leader").distinct())
+    followers = scratch.put(pairs.groupBy(F.col("leader").alias("k")).agg(F.count("*").alias("n")))
     sets = scratch.put(sets_of(docs, known.select("rep"), words, weighted).dropDuplicates(["rep", "s"]))
     mine, theirs = sets.select(F.col("rep").alias("m"), F.col("s").alias("s")), sets.select(F.col("rep").alias("t"), F.col("s").alias("ls"))
-    compared = pairs.join(mine, F.col("rep") == F.col("m")).join(theirs, F.col("leader") == F.col("t"))
+    # a leader's set meets its members' in as many tasks as they need
+    compared = spread_join(pairs.join(mine, F.col("rep") == F.col("m")), theirs, ("leader", "t"), followers, ["rep"], GROUP_ROWS)
     common = F.size(F.array_intersect("s", "ls"))
     compared = scratch.put(compared.select("rep", "leader", alike(common, F.size("s"), F.size("ls"), similar).alias("linked")))
     star = compared.filter("linked").select(F.col("rep").alias("u"), F.col("leader").alias("v"))
@@ -321,10 +326,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     members = left.unionByName(right).join(mine, F.col("rep") == F.col("m")).select("leader", "i", "j", "side", "rep", "component", "s")
     rest = scratch.put(compare_groups(members, similar))
     classes = scratch.put(connected(star.unionByName(rest), scratch)) if not rest.isEmpty() else first
-    scratch.drop(shared, known, sets, compared, group, rest)
-    to_rep = reps.select("s1", "s2", "rep").alias("r")
-    out = signs.select("doc_id", "s1", "s2", "n").alias("d").join(to_rep, (F.col("d.s1") == F.col("r.s1")) & (F.col("d.s2") == F.col("r.s2")) & (F.col("d.n") > 0), "left").select("doc_id", "rep")
-    out = out.join(classes.select("node", "component"), F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("class_id"))
+    scratch.keep(signs, reps, classes)
+    copies = scratch.put(signs.filter("n > 0").groupBy(F.col("s1").alias("k")).agg(F.count("*").alias("n")))
+    of_rep = reps.select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), "rep").join(classes.select("node", "component"), F.col("rep") == F.col("node"), "left")
+    of_rep = of_rep.select("r1", "r2", F.coalesce("component", "rep").alias("class_id"))
+    said = spread_join(signs.filter("n > 0").select("doc_id", "s1", "s2"), of_rep, ("s1", "r1"), copies, ["doc_id"]).filter(F.col("s2") == F.col("r2")).select("doc_id", "class_id")
+    out = said.unionByName(signs.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
     missing = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(missing).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
@@ -338,11 +345,12 @@ SQL = {
     "op9_near_dedup": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
-g AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+o AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+g AS (SELECT doc_id, g, count(*) AS w FROM o GROUP BY 1, 2),
+n AS (SELECT doc_id, sum(w) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.w, b.w)) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)),
 r AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT l.a, r.m FROM r JOIN l ON l.b = r.doc_id),
 c AS (SELECT doc_id, min(m) AS m FROM r GROUP BY 1)
