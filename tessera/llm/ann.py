@@ -5,11 +5,13 @@ is assigned to its nearest centroid's list and its residual is coded.  A query
 probes the lists nearest to it; within a list an asymmetric distance table (query
 residual against codebooks) ranks the codes, and the best are reranked by exact
 distance on the original vectors; then so is every row that its code's own error
-does not rule out, so nothing among the best of a probed list is lost.  How many
-lists are probed is found from an audit: the true neighbours of a bounded sample of
-queries, by brute force.  The same queries' results audit the whole search
-afterwards, those of crowded lists (hot) apart from the others; where either falls
-short, more lists are probed.
+does not rule out, so nothing among the best of a probed list is lost.  (For that a
+list's task holds its vectors beside the codes: where codes rule little out, as of
+vectors that lie evenly, naming the survivors and fetching them would cost more.)
+How many lists are probed is found from an audit: the true neighbours of a bounded
+sample of queries, by brute force.  The same queries' results audit the whole search
+afterwards, from codes to ranks, those of crowded lists (hot) apart from the others;
+where either falls short, more lists are probed.
 
 Long lists are cut into blocks, many queries into chunks, and each (list, block,
 chunk) is searched on its own; what leaves it is the ten best per query, so a list
@@ -17,8 +19,9 @@ that holds a third of all rows spreads over many tasks.
 
 Defined cases: vectors that don't take part (see vectors.usable) are neither
 queries nor candidates; equal vectors keep their rows, ties go to the smaller
-vec_id; with fewer candidates than asked for, all that were found are returned; an
-empty table gives an empty result.
+vec_id; a vec_id with several vectors asks with the smallest; with fewer candidates
+than asked for, all that were found are returned; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ from .vectors import k_means, nearest, sample, usable
 
 LOG = logging.getLogger(__name__)
 
-#: Bounds: rows in the fitting sample, lists, audited queries.
-MOST_SAMPLE, MOST_LISTS, MOST_AUDIT = 20_000, 1024, 64
+#: Bounds: rows in the fitting sample (so many for each list, if that is more), lists, audited queries.
+MOST_SAMPLE, SAMPLE_A_LIST, MOST_LISTS, MOST_AUDIT = 20_000, 20, 4096, 64
 SUBSPACES, CODES = 16, 256
 BLOCK_ROWS, CHUNK_QUERIES = 4096, 1024
 #: Codes per list that are reranked at first; share of audited neighbours whose lists are probed.
@@ -55,8 +58,8 @@ class Quantiser:
     cuts: list[int]
 
     @classmethod
-    def fit(cls, x: np.ndarray, n_rows: int) -> Quantiser:
-        centres = k_means(x, int(min(MOST_LISTS, max(1, math.sqrt(n_rows)))))
+    def fit(cls, x: np.ndarray, n_lists: int) -> Quantiser:
+        centres = k_means(x, n_lists)
         residual = x - centres[nearest(x, centres).argmin(1)]
         d = x.shape[1]
         cuts = np.linspace(0, d, min(SUBSPACES, d) + 1).astype(int).tolist()
@@ -83,6 +86,19 @@ class Quantiser:
         return out
 
 
+def lists_for(n_rows: int) -> int:
+    """Half the square root: a list then holds some times as many rows as are reranked at first."""
+    return int(min(MOST_LISTS, max(1, math.sqrt(n_rows) / 2)))
+
+
+def equal_rows(x: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for equal rows."""
+    _, at, same = np.unique(hashes, return_index=True, return_inverse=True)
+    if (x == x[at[same]]).all():
+        return same
+    return np.unique(x, axis=0, return_inverse=True)[1].reshape(-1)  # different rows share a hash
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -101,15 +117,15 @@ def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
 
 
 def build_index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """vec_id, v, list, codes of every row (vec_id, v)."""
+    """vec_id, v, h (hash of v), list, codes of every row (vec_id, v)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 lists, codes = quantiser.encode(matrix(b["v"]))
-                yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "list": lists, "codes": [c.tobytes() for c in codes]})
+                yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "h": b["h"], "list": lists, "codes": [c.tobytes() for c in codes]})
 
-    return rows.mapInPandas(run, "vec_id long, v array<double>, list int, codes binary")
+    return rows.select("vec_id", "v", F.xxhash64("v").alias("h")).mapInPandas(run, "vec_id long, v array<double>, h long, list int, codes binary")
 
 
 def exact_neighbours(rows: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
@@ -157,7 +173,7 @@ def search_index(index: DataFrame, queries: DataFrame, quantiser: Quantiser, pro
         rows = rows.sort_values("vec_id", kind="stable")
         ids, x = rows["vec_id"].to_numpy(), matrix(rows["v"])
         # equal vectors stand for one another: of each, the first k + 1 rows can be among the k best
-        _, same = np.unique(x, axis=0, return_inverse=True)
+        same = equal_rows(x, rows["h"].to_numpy())
         order = np.argsort(same, kind="stable")
         ahead = np.empty(len(x), int)
         ahead[order] = np.arange(len(x)) - np.searchsorted(same[order], same[order])
@@ -169,21 +185,19 @@ def search_index(index: DataFrame, queries: DataFrame, quantiser: Quantiser, pro
         error = np.sqrt(((x[firsts] - quantiser.decode(np.full(len(firsts), which), codes)) ** 2).sum(1)) + 1e-9
         out: list[tuple[int, int, float]] = []
         for query, v in zip(wanted["query_id"].to_numpy(), matrix(wanted["v"]), strict=True):
-            if len(firsts) > RERANK:
-                rough = quantiser.tables(v, which)[subspaces, codes].sum(1)
-                ranked = np.argpartition(rough, RERANK - 1)[:RERANK]
-                exact = np.sqrt(((x[firsts[ranked]] - v) ** 2).sum(1))
-                # of different vectors k + 1, as one may be the query itself
-                most = np.partition(exact, k)[k] + 1e-9
-                chosen = firsts[np.sqrt(rough) - error <= most]
-                chosen = members[np.isin(same[members], same[chosen])]
-            else:
-                chosen = members
+            rough = quantiser.tables(v, which)[subspaces, codes].sum(1)
+            n = min(RERANK, len(rough))
+            ranked = np.argpartition(rough, n - 1)[:n]
+            exact = np.sqrt(((x[firsts[ranked]] - v) ** 2).sum(1))
+            # of different vectors k + 1, as one may be the query itself; with fewer, none is ruled out
+            most = np.partition(exact, k)[k] + 1e-9 if n > k else np.inf
+            chosen = firsts[np.sqrt(rough) - error <= most]
+            chosen = members[np.isin(same[members], same[chosen])]
             out.extend(best(np.array([query]), v[None, :], ids[chosen], x[chosen], k))
         return pd.DataFrame(out, columns=columns)
 
     keys = ["list", "block", "chunk"]
-    found = data.select(*keys, "vec_id", "v", "codes").groupBy(*keys).cogroup(asks.select(*keys, "query_id", "v").groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
+    found = data.select(*keys, "vec_id", "v", "h", "codes").groupBy(*keys).cogroup(asks.select(*keys, "query_id", "v").groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
     return first(found, k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -202,16 +216,18 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "ann")
     rows = usable(embeddings)
-    fitted = sample(rows, MOST_SAMPLE)
+    n_lists = lists_for(rows.count())
+    fitted = sample(rows, max(MOST_SAMPLE, SAMPLE_A_LIST * n_lists))
     if not len(fitted):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    quantiser = Quantiser.fit(fitted, rows.count())
+    quantiser = Quantiser.fit(fitted, n_lists)
     index = scratch.put(build_index(rows, quantiser))
-    queries = index.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "v")
+    chosen = index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "list")).alias("q")).select("vec_id", "q.v", "q.list")
+    queries = chosen.select("vec_id", "v")
     # rows per list, of which there are at most MOST_LISTS
     sizes = index.groupBy("list").count().toPandas()
     crowded = sizes["list"][sizes["count"] > CROWDED * sizes["count"].mean()].tolist()
-    asked = index.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "v", F.col("list").isin(crowded).alias("hot"))
+    asked = chosen.select("vec_id", "v", F.col("list").isin(crowded).alias("hot"))
     drawn = [asked.filter(F.col("hot") == hot).orderBy(F.xxhash64("vec_id"), "vec_id").limit(MOST_AUDIT).toPandas() for hot in (False, True)]
     audited = pd.concat([d for d in drawn if len(d)] or drawn[:1], ignore_index=True)
     if not len(audited):
@@ -232,7 +248,9 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
         for kind, share in sorted(measured.items()):
             LOG.info("recall of %s queries, %d lists probed: %.4f", "hot" if kind else "other", probes, share)
         if probes >= len(quantiser.centres) or all(share >= ACCEPTED for share in measured.values()):
+            scratch.keep(found)
             return found
+        scratch.drop(found)
         probes *= 2
 
 

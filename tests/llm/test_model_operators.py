@@ -1,9 +1,11 @@
 """Operators 4, 5, 7, 9 and the pipeline against brute force, and their edge cases."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ann, graph_dedup, near_dup, quality
 from tessera.llm.common import Scratch
@@ -98,7 +100,7 @@ def test_nearest_neighbours_among_near_copies(spark):
     """Near copies share nearly the same codes; of probed lists the true neighbours are found all the same."""
     draw = np.random.default_rng(8)
     x = draw.normal(size=(3000, 32))
-    quantiser = ann.Quantiser.fit(x[1000:], 100)
+    quantiser = ann.Quantiser.fit(x[1000:], 10)
     x[:1000] = x[0] + 0.002 * draw.normal(size=(1000, 32))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
     found = ann.search_index(ann.build_index(rows, quantiser), rows.filter("vec_id % 60 = 0"), quantiser, 10, 10)
@@ -111,6 +113,33 @@ def test_nearest_neighbours_among_near_copies(spark):
         assert by[q] == set(np.argsort(d, kind="stable")[:10].tolist())
 
 
+def test_nearest_neighbours_of_repeated_ids_and_one_large_list(spark, monkeypatch):
+    """All rows in few lists, cut into many blocks and chunks; half of them within one narrow cone; ids that occur twice."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(ann, "CHUNK_QUERIES", 11)
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(4000, 24))
+    x[:2000] = x[0] + 0.05 * draw.normal(size=(2000, 24))
+    x = x.astype(np.float32).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, x[100].tolist()), (150, x[150].tolist()), (7, x[200].tolist())]
+    every = np.vstack([x, x[100], x[150], x[200]])
+    ids = np.array([r[0] for r in rows])
+    by = {}
+    for r in ann.search(spark.createDataFrame(rows, VEC)).collect():
+        by.setdefault(r["query_id"], []).append(r)
+    assert sorted(by) == list(range(0, 4000, 100))
+    hits = 0
+    for q, got in by.items():
+        got.sort(key=lambda r: r["rank"])
+        d = np.sqrt(((every - x[q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        want = np.lexsort((ids, d))[:10]
+        hits += len({(r["vec_id"], round(r["score"], 9)) for r in got} & {(int(ids[i]), round(float(d[i]), 9)) for i in want})
+        assert [r["rank"] for r in got] == list(range(1, 11)) and q not in {r["vec_id"] for r in got}
+    assert hits >= 0.95 * 400
+    assert [r["vec_id"] for r in by[200]][0] == 7
+
+
 def test_recall_is_of_hot_queries_and_others():
     import pandas as pd
 
@@ -229,7 +258,7 @@ def edited(text, n):
 def classes_by_brute_force(texts):
     def grams(t):
         w = (t or "").split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
     sets = [grams(t) for t in texts]
     root = list(range(len(texts)))
@@ -241,8 +270,8 @@ def classes_by_brute_force(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and both >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+            both = (sets[i] & sets[j]).total()
+            if both and both >= 0.8 * (sets[i] | sets[j]).total() - 1e-9:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return [find(i) for i in range(len(texts))]
@@ -291,8 +320,31 @@ def test_weighted_near_duplicates(spark):
     line = "a b c d e f g"
     texts = [line, " ".join([line] * 40), " ".join([line] * 41), " ".join([line] * 38)]
     rows = spark.createDataFrame(list(enumerate(texts)), DOC)
-    found = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(rows, weighted=True).collect()}
-    assert found == {0: 0, 1: 1, 2: 1, 3: 1}
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(rows).collect()}
+    assert found == {0: 0, 1: 1, 2: 1, 3: 1} and [found[i] for i in range(4)] == classes_by_brute_force(texts)
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(rows, weighted=False).collect()}
+    assert found == {0: 0, 1: 1, 2: 1, 3: 1}  # their sets: the short line's three shingles against seven
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(near_dup, "GROUP_ROWS", 7)
+    monkeypatch.setattr(common.spread_join, "__defaults__", (5,))
+    base = prose(150)
+    texts = [edited(base, 2 + n % 6) for n in range(120)] + [base] * 40 + [prose(40) for _ in range(20)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
+    assert [found[i] for i in range(len(texts))] == classes_by_brute_force(texts)
+
+
+def test_spread_join_is_a_join(spark):
+    from tessera.llm.common import spread_join
+
+    left = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(300)], "i long, k1 long")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 300, 2)], "k2 long, v string")
+    sizes = left.groupBy(F.col("k1").alias("k")).agg(F.count("*").alias("n"))
+    got = spread_join(left, right, ("k1", "k2"), sizes, ["i"], rows=10)
+    assert sorted(got.collect()) == sorted(left.join(right, F.col("k1") == F.col("k2")).collect())
 
 
 # --- pipeline --------------------------------------------------------------------
