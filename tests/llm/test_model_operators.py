@@ -238,6 +238,56 @@ def test_embedding_links_of_rare_pairs_beside_a_hot_group(spark, monkeypatch, pa
     assert [got[i] for i in range(1200)] == (near.sum(1) - 1).tolist()
 
 
+@pytest.mark.parametrize("slack", [graph_dedup.SLACK, (2.0,)])
+def test_embedding_links_of_many_vectors(spark, monkeypatch, slack):
+    """12,000 vectors with planted links: groups of many sizes, chains, pairs at the threshold, rows of equal direction."""
+    monkeypatch.setattr(graph_dedup, "SLACK", slack)
+    draw = np.random.default_rng(12)
+    n, d = 12_000, 32
+    x = draw.normal(size=(n, d))
+    x[:4000] = x[0] + 0.09 * draw.normal(size=(4000, d))  # a third in one group, around the threshold
+    at = 4000
+    while at < 9000:  # groups of 2 to 60, tight to loose
+        size = int(draw.integers(2, 60))
+        x[at : at + size] = x[at] + draw.choice([0.01, 0.1, 0.15, 0.2]) * draw.normal(size=(len(x[at : at + size]), d))
+        at += size
+    for i in range(9100, 9400):  # a chain
+        x[i] = x[i - 1] + 0.2 * draw.normal(size=d)
+    x[9500:9900] = x[9500] * draw.uniform(0.5, 2, size=(400, 1))
+    x = x.astype(np.float32).astype(float)
+    order = draw.permutation(n)
+    rows = [(int(order[i]) - 5000, v.tolist()) for i, v in enumerate(x)]
+    z = x / np.sqrt((x * x).sum(1))[:, None]
+    near = [np.flatnonzero(z[i] @ z.T >= 0.95) for i in range(n)]
+    got = {r["vec_id"]: r for r in graph_dedup.near_duplicates(spark.createDataFrame(rows, VEC)).collect()}
+    ids = [r[0] for r in rows]
+    found, truth = sum(got[ids[i]]["n_links"] for i in range(n)), sum(len(m) - 1 for m in near)
+    assert truth > 300_000 and found <= truth and found >= 0.999 * truth
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in near[i]:
+            root[find(j)] = find(i)
+    least = {}
+    for i in range(n):
+        least[find(i)] = min(least.get(find(i), 10**9), ids[i])
+    wrong = sum(got[ids[i]]["component_id"] != least[find(i)] for i in range(n))
+    assert wrong <= 0.002 * n
+    if slack[0] == 2.0:  # all that is met: exact
+        assert found == truth and not wrong
+
+
+def test_every_part_of_a_graph_has_a_start():
+    edges = [np.array([1]), np.array([0]), np.array([3, 4]), np.array([2]), np.array([2]), np.empty(0, int)]
+    assert graph_dedup.parts(edges) == [0, 2, 5]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
