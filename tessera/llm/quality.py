@@ -13,8 +13,9 @@ an input of a score.
 
 Defined cases: a null text is scored as an empty one; a null label is no label;
 without labels every score is 0.5, with labels of one kind their mean; a row
-without doc_id is scored and not held out; repeated rows are scored each; an
-empty table gives an empty result.
+without doc_id is scored and not held out; repeated rows are scored each; texts of
+any length are read whole; equal statistics give equal scores; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -109,7 +110,8 @@ class Model:
     def score(self, stats: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(stats), self.to[0])
-        return np.clip(np.interp(self.raw(stats), self.at, self.to), 0.0, 1.0)
+        # rounded, as a matrix product's last bits depend on the rows it is made with
+        return np.round(np.clip(np.interp(self.raw(stats), self.at, self.to), 0.0, 1.0), 12)
 
 
 def fourier(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -153,13 +155,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_FIT_ROWS) -> M
     fold = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(FOLDS)).cast("int").alias("fold")
     train = scratch.put(rows.select(fold, "y", "text").mapInPandas(measure, "fold int, y double, f array<double>"))
     train = train.coalesce(PARTS)
-    moments = train.select("y", F.posexplode("f")).groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("s"), F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("pos").collect()
-    if not moments:
+    part = lambda i: F.col("f")[i]
+    moments = train.agg(F.count("*").alias("n"), F.avg("y").alias("y"), F.array(*(F.avg(part(i)) for i in range(STATISTICS))).alias("m"), F.array(*(F.stddev_pop(part(i)) for i in range(STATISTICS))).alias("s")).first()
+    if not moments["n"]:
+        scratch.keep()
         return Model(np.zeros(STATISTICS), np.ones(STATISTICS), None)
-    base = float(moments[0]["y"])
-    mean, scale = np.array([r["m"] for r in moments]), np.array([r["s"] or 1.0 for r in moments])
+    base = float(moments["y"])
+    mean, scale = np.array(moments["m"]), np.array(moments["s"])
     scale[scale < 1e-9] = 1.0
     if base in (0.0, 1.0):
+        scratch.keep()
         return Model(mean, scale, None, to=np.array([base]))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_FIT_ROWS) -> M
     curve = train.mapInPandas(left_out, "bin int, y double").groupBy("bin").agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
     x = (np.array([r["bin"] for r in curve]) + 0.5) / (BINS / 2) - 0.5
     model.at, model.to = isotonic(x, np.array([r["y"] for r in curve]), np.array([float(r["n"]) for r in curve]))
+    scratch.keep()
     return model
 
 

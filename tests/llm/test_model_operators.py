@@ -59,6 +59,72 @@ def test_quality_without_labels(spark, labelled):
     assert quality.score_documents(docs.limit(0), quality.fit(docs, labels, most_rows=100)).count() == 0
 
 
+def test_fit_against_plain_numpy(spark, labelled):
+    """The summed normal equations and the calibration against a fit in one piece."""
+    docs, labels, rows = labelled
+    model = quality.fit(docs, labels)
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] is not None and r["quality"] is not None}
+    used = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in known]
+    import zlib
+
+    used = [(i, t) for i, t in used if zlib.crc32(str(i).encode()) % 4 != 2]
+    # doc_id 7 has a label and a null one
+    stats = np.array([quality.statistics(t) if t else [0.0] * quality.STATISTICS for _, t in used])
+    y = np.array([float(known[i]) for i, _ in used])
+    mean, scale = stats.mean(0), stats.std(0)
+    scale[scale < 1e-9] = 1
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale)
+    phi = quality.fourier(stats, mean, scale)
+    penalty = np.full(phi.shape[1], quality.RIDGE * len(y))
+    penalty[-1] = 1e-9
+
+    def ridge(p, t):
+        return np.linalg.lstsq(np.vstack([p, np.diag(np.sqrt(penalty))]), np.concatenate([t, np.zeros(p.shape[1])]), rcond=None)[0]
+
+    raw = phi @ ridge(phi, y)
+    assert np.allclose(model.raw(stats), raw, atol=1e-4)
+    assert (np.diff(model.score(stats)[np.argsort(raw)]) >= -1e-9).all()  # calibration keeps the order
+    assert (np.diff(model.to) >= 0).all() and 0 <= model.to.min() and model.to.max() <= 1
+
+
+def test_fourier_features_approximate_the_kernel():
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(40, quality.STATISTICS))
+    phi = quality.fourier(x, np.zeros(quality.STATISTICS), np.ones(quality.STATISTICS))[:, :-1]
+    cut = np.clip(x, -quality.REACH, quality.REACH)
+    kernel = np.exp(-quality.GAMMA * ((cut[:, None] - cut[None, :]) ** 2).sum(-1))
+    assert np.abs(phi @ phi.T - kernel).mean() < 0.06
+
+
+def test_isotonic_against_brute_force():
+    draw = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(draw.integers(1, 30))
+        x, w = np.arange(n, dtype=float), draw.integers(1, 5, n).astype(float)
+        y = draw.random(n)
+        at, to = quality.isotonic(x, y * w, w)
+        # the greatest over starts of the least over ends of the means between
+        want = [max(min((y[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(sorted(set(np.round(want, 9))), sorted(set(np.round(to, 9))))
+
+
+def test_quality_of_long_and_equal_texts(spark, labelled):
+    docs, labels, rows = labelled
+    model = quality.fit(docs, labels)
+    long = prose(200_000)
+    got = quality.score_documents(spark.createDataFrame([(1, long), (2, long), (3, rows[3][1]), (4, rows[3][1]), (5, long + " !!! |" * 100_000)], DOC), model).collect()
+    scores = {r["doc_id"]: r["score"] for r in got}
+    assert scores[1] == scores[2] and scores[3] == scores[4] and scores[5] != scores[1]
+
+
+def test_quality_on_the_labels_at_hand(spark):
+    """Accuracy on held-out labelled rows of the small tables."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    scored = quality.op4_quality(spark, d).filter("held_out").join(labels, "doc_id").filter("quality is not null").collect()
+    assert len(scored) > 50 and np.mean([r["predicted"] == r["quality"] for r in scored]) > 0.9
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 2, 1, 3]), np.array([1.0, 2, 2, 3]))
     assert (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1
@@ -420,3 +486,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert not any("4041894974608795" in r["text"] for r in seen["privacy"])
     assert {r["doc_id"] for r in seen["packing"]} == set(kept)
     assert {(r["doc_id"], r["start"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {(r["doc_id"], r["start"], r["ids_crc32"]) for r in seen["packing"]}
+
+
+def test_pipeline_keeps_different_texts_under_one_id(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "t", 1), (1, b, "de", "t", 1), (2, edited(a, 1), "en", "s", 1), (3, c, "en", "z", 1), (3, c, "en", "y", 1), (None, c, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _ in range(2):  # the same each time
+        got = sorted((r["doc_id"] or 0, r["text"], r["lang"], r["source"]) for r in corpus_pipeline.near_dedup(spark, docs.repartition(3), "").collect())
+        assert got == sorted([(1, a, "en", "s"), (1, b, "de", "t"), (3, c, "en", "y"), (0, c, None, None)])
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
