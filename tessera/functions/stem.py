@@ -1,15 +1,17 @@
-"""Porter's stemmer (M. F. Porter, An algorithm for suffix stripping, 1980), and a column function over it."""
+"""Porter's stemmer (M. F. Porter, An algorithm for suffix stripping, 1980, with its author's two later changes), and column functions over it."""
 
 from __future__ import annotations
 
 import functools
 import re
+import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
 STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
@@ -37,7 +39,8 @@ def ends_short(word: str) -> bool:
 
 @functools.lru_cache(200_000)
 def stem(word: str) -> str:
-    if len(word) < 3 or not word.isascii() or not word.isalpha():
+    """The stem of a lower-cased word of 3 to 64 characters; what is no vowel is a consonant."""
+    if not 3 <= len(word) <= 64:
         return word
     if word.endswith("sses") or word.endswith("ies"):
         word = word[:-2]
@@ -81,3 +84,29 @@ def stemmed(words: Column) -> Column:
         return lists.map(lambda ws: None if ws is None else [stem(w) for w in ws])
 
     return run(words)
+
+
+def plain_letters() -> tuple[str, str]:
+    """Letters with marks up to U+1EFF, and the letters without them."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))]
+    kept = [(c, b) for c, b in pairs if c != b]
+    return "".join(c for c, _ in kept), "".join(b for _, b in kept)
+
+
+MARKED, BARE = plain_letters()
+
+
+def folded(text: Column) -> Column:
+    """Lower case, without marks on letters."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(F.regexp_replace(low, r"\p{Mn}+", ""), MARKED, BARE)).otherwise(low)
+
+
+def counted(words: Column) -> Column:
+    """An array of words as array of struct(term, tf): stems and how often each occurs, in Arrow batches."""
+
+    @F.pandas_udf("array<struct<term:string,tf:int>>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda ws: [{"term": t, "tf": n} for t, n in Counter(map(stem, ws if ws is not None else ())).items()])
+
+    return run(words)

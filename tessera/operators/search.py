@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import score, text
-from . import records
+from . import lexicon, records
 
-K1, B = 1.2, 0.75
-LEAST_IDF = 1e-6
 #: A context pack adds so many tokens for each object.
 PACK_OVERHEAD = 20
 
@@ -35,43 +32,9 @@ def by_token_part(memories: DataFrame, index: DataFrame, part: str) -> DataFrame
     return memories.filter("status = 'active'").join(hits, F.col("id") == F.col("t_id"), "left_semi")
 
 
-def postings(memories: DataFrame, columns: Sequence[str] = ("content", "scope_path")) -> DataFrame:
-    """term, id, tf, dl: the inverted index of all terms, to be written bucketed by term for repeated use."""
-    terms = F.concat(*(F.coalesce(text.words_of(F.col(c)), F.array()) for c in columns))
-    return memories.select("id", F.size(terms).alias("dl"), F.explode(terms).alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25(memories: DataFrame, terms: Sequence[str], columns: Sequence[str] = ("content", "scope_path"), stems: bool = False) -> DataFrame:
-    """``memories`` with bm25 > 0 for any of the terms; statistics over all rows given.
-
-    Only the query's terms are counted, in the scan itself; the statistics are
-    one row, and no postings are shuffled.  ``stems``: words match by stem.
-    """
-    words = F.concat(*(F.coalesce(text.words_of(F.col(c)), F.array()) for c in columns))
-    if stems:
-        from ..functions import stem
-
-        words, terms = stem.stemmed(words), list(dict.fromkeys(map(stem.stem, terms)))
-    counted = memories.withColumn("_terms", words)
-    is_term = lambda t: lambda w: w == F.lit(t)
-    tf = [F.size(F.filter("_terms", is_term(t))).alias(f"_tf{i}") for i, t in enumerate(terms)]
-    counted = counted.select(*memories.columns, F.size("_terms").alias("_dl"), *tf)
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))))
-
-    def part(i: int) -> Column:
-        n, df, f = F.col("_n"), F.col(f"_df{i}"), F.col(f"_tf{i}")
-        idf = F.log((n - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-
-    hits = counted.filter(reduce(lambda a, b: a | b, (F.col(f"_tf{i}") > 0 for i in range(len(terms)))))
-    scored = hits.join(F.broadcast(stats))  # one row
-    return scored.select(*memories.columns, sum((part(i) for i in range(len(terms))), F.lit(0.0)).alias("bm25"))
-
-
-def lexical(memories: DataFrame, terms: Sequence[str], status: Sequence[str] = ("active",), limit: int = 50) -> DataFrame:
-    """The best of the given statuses; statistics are those of all memories."""
-    return bm25(memories, terms).filter(F.col("status").isin(*status)).orderBy(F.desc("bm25"), "id").limit(limit)
+def lexical(memories: DataFrame, index: lexicon.Index, terms: Sequence[str], status: Sequence[str] = ("active",), limit: int = 50) -> DataFrame:
+    """id, bm25: the best of the given statuses; statistics are those of all memories indexed."""
+    return lexicon.search(index, memories.filter(F.col("status").isin(*status)), terms, limit)
 
 
 def vector(vectors: DataFrame, query: DataFrame, limit: int = 50, key: str = "vec_id") -> DataFrame:
@@ -108,12 +71,12 @@ def fused(lexical_hits: DataFrame, vector_hits: DataFrame, memories: DataFrame,
     return memories.filter(F.col("status").isin(*status)).join(F.broadcast(ranked), F.col("id") == F.col("m_id")).drop("m_id")
 
 
-def hybrid(memories: DataFrame, vectors: DataFrame, query: DataFrame, terms: Sequence[str], now: Column, limit: int = 20, alpha: float = 0.5, status: Sequence[str] = ("active",), types: Sequence[str] = ()) -> DataFrame:
+def hybrid(memories: DataFrame, index: lexicon.Index, vectors: DataFrame, query: DataFrame, terms: Sequence[str], now: Column, limit: int = 20, alpha: float = 0.5, status: Sequence[str] = ("active",), types: Sequence[str] = ()) -> DataFrame:
     """Fused search: twice the limit from either side, types filtered after fusion, then strength, outcome and recency.
 
     memories need strength and outcome_score; the strength is always decayed.
     """
-    hits = fused(lexical(memories, terms, status, 2 * limit), vector(vectors, query, 2 * limit), memories, alpha, status)
+    hits = fused(lexical(memories, index, terms, status, 2 * limit), vector(vectors, query, 2 * limit), memories, alpha, status)
     if types:
         hits = hits.filter(F.col("object_type").isin(*types))
     faded = score.decayed_strength(F.col("strength"), F.col("last_accessed"), F.col("created_at"), now)

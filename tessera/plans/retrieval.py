@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..operators import lexicon as L
 from ..operators import records as R
 from ..operators import search as X
 from ..sources import views as V
+from . import lexicon_sql as Q
 from .records import OUT, TIER, TOKENS
 
 QUERIES, SQL = {}, {}
@@ -27,19 +29,7 @@ def query(name: str, sql: str | None = None):
 M, O = V.MEMORIES_SQL, V.OUTCOMES_SQL
 TERMS = ("thation", "oning", "leau", "der")
 LIMIT = 20
-PLAIN = r"[^\p{L}\p{N}]+"
-WORDS = rf"list_filter(list_concat(regexp_split_to_array(lower(content), '{PLAIN}'), regexp_split_to_array(lower(scope_path), '{PLAIN}')), lambda w: length(w) > 0)"
-TF = ", ".join(f"len(list_filter(terms, lambda w: w = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))
-STATS = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(TERMS)))
-
-
-def part_sql(i: int) -> str:
-    idf = f"ln((n - df{i} + 0.5) / (df{i} + 0.5))"
-    return f"(CASE WHEN {idf} <= 0 THEN 1e-6 ELSE {idf} END) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avg_dl))"
-
-
-BM25 = f"""w AS (SELECT *, {WORDS} AS terms FROM memories), c AS (SELECT *, len(terms) AS dl, {TF} FROM w), st AS (SELECT count(*) AS n, avg(dl) AS avg_dl, {STATS} FROM c),
-bm AS (SELECT c.*, {' + '.join(map(part_sql, range(len(TERMS))))} AS bm25 FROM c, st WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(TERMS)))})"""
+BM25 = Q.bm25("memories", ("content", "scope_path"), L.query_terms(TERMS))
 COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[])"
 AGE = f"date_diff('day', coalesce(last_accessed, created_at), TIMESTAMP '{V.NOW}')"
 FADED = f"greatest(0.01, strength * exp(-0.05 * {AGE}))"
@@ -47,7 +37,7 @@ RECENT = f"(1 + 0.2 * exp(-date_diff('day', coalesce(last_verified_at, created_a
 
 
 def hybrid_sql(limit: int) -> str:
-    return f"""{BM25}, lx AS (SELECT id, row_number() OVER (ORDER BY bm25 DESC, id) AS l_rank FROM (SELECT * FROM bm WHERE status = 'active' ORDER BY bm25 DESC, id LIMIT {2 * limit})),
+    return f"""{BM25}, lx AS (SELECT id, row_number() OVER (ORDER BY bm25 DESC, id) AS l_rank FROM (SELECT id, bm25 FROM hits JOIN memories USING (id) WHERE status = 'active' ORDER BY bm25 DESC, id LIMIT {2 * limit})),
 vx AS (SELECT vec_id, row_number() OVER (ORDER BY 1 - {COS}, vec_id) AS v_rank FROM embeddings ORDER BY 1 - {COS}, vec_id LIMIT {2 * limit}),
 rk AS (SELECT coalesce(id, vec_id) AS m_id, coalesce(0.5::DOUBLE / (60 + l_rank), 0) + coalesce(0.5::DOUBLE / (60 + v_rank), 0) AS rrf, CASE WHEN vec_id IS NULL THEN 'lexical' WHEN id IS NULL THEN 'vector' ELSE 'hybrid' END AS match FROM lx FULL JOIN vx ON id = vec_id),
 hy AS (SELECT m.*, rrf, match, rrf * {FADED} * (0.5 + coalesce(outcome_score, 0.5)) * {RECENT} AS score FROM memories m JOIN rk ON id = m_id LEFT JOIN scores ON id = memory_id WHERE status = 'active' ORDER BY score DESC, id LIMIT {limit})"""
@@ -60,12 +50,23 @@ def searched(spark, d, limit=LIMIT):
     memories = R.with_outcomes(V.memories(spark, d), V.outcomes(spark, d))
     vectors = V.read(spark, d, "embeddings")
     asked = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    return X.hybrid(memories, vectors, asked, TERMS, V.now(), limit)
+    return X.hybrid(memories, V.memory_index(spark, d), vectors, asked, TERMS, V.now(), limit)
 
 
-@query("bm25_topk", f"WITH {M}, {BM25} SELECT id, round(bm25, 6) AS bm25 FROM bm WHERE status = 'active' ORDER BY bm.bm25 DESC, id LIMIT 50")
+@query("bm25_topk", f"WITH {M}, {BM25} SELECT id, round(bm25, 6) AS bm25 FROM hits JOIN memories USING (id) WHERE status = 'active' ORDER BY hits.bm25 DESC, id LIMIT 50")
 def bm25_topk(spark, d):
-    return X.lexical(V.memories(spark, d), TERMS).select("id", F.round("bm25", 6).alias("bm25"))
+    return X.lexical(V.memories(spark, d), V.memory_index(spark, d), TERMS).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+EVENT_TERMS = ("hation", "sthe", "and")
+
+
+@query("event_search", f"WITH {V.SAID_SQL}, {Q.bm25('said_events', ('content', 'role'), L.query_terms(EVENT_TERMS))} SELECT id, session_id, role, round(bm25, 6) AS bm25 FROM hits JOIN said_events USING (id) ORDER BY hits.bm25 DESC, id LIMIT 50")
+def event_search(spark, d):
+    """Events by words, whatever their session."""
+    events = V.said(spark, d)
+    top = L.search(V.event_index(spark, d), events, EVENT_TERMS)
+    return events.select("id", "session_id", "role").join(F.broadcast(top), "id").select("id", "session_id", "role", F.round("bm25", 6).alias("bm25"))
 
 
 @query("vector_topk", f"SELECT vec_id, round(1 - {COS}, 6) AS distance FROM embeddings ORDER BY 1 - {COS}, vec_id LIMIT 50")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lexicon
 from ..schema import CONFIDENCES, OBJECT_TYPES, REVIEWS
 
 #: The present, for everything that decays or ages.
@@ -66,6 +67,11 @@ MEMORIES_SQL = f"""memories AS (SELECT doc_id AS id, text AS content,
   1 - (doc_id % 10) / 20.0::DOUBLE AS strength FROM documents)"""
 
 
+def memory_index(spark: SparkSession, sf_dir: str) -> lexicon.Index:
+    """The lexical index of memories, made when the table is new or was changed."""
+    return lexicon.kept(spark, "memories", [f"{sf_dir}/documents.parquet"], lambda: memories(spark, sf_dir).select("id", "content", "scope_path"), ("content", "scope_path"))
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback on memories: toxic or of low quality is unhelpful, else helpful."""
     bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
@@ -117,4 +123,14 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("content"))
 
 
+def said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as events of a log, with an id of their own."""
+    return turns(spark, sf_dir).withColumn("id", F.col("session_id") * 100_000 + F.col("pos"))
+
+
+def event_index(spark: SparkSession, sf_dir: str) -> lexicon.Index:
+    return lexicon.kept(spark, "events", [f"{sf_dir}/conversations.parquet"], lambda: said(spark, sf_dir).select("id", "content", "role"), ("content", "role"))
+
+
+SAID_SQL = "said_events AS (SELECT conv_id * 100000 + turn AS id, conv_id AS session_id, role, text AS content FROM conversations)"
 TURNS_SQL = "turns AS (SELECT conv_id AS session_id, turn AS pos, role, text AS content FROM conversations)"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import language, score, text
-from tessera.operators import conflicts, context, curate, evidence, lifecycle, records, search, sessions
+from tessera.operators import conflicts, context, curate, evidence, lexicon, lifecycle, records, search, sessions
 from tessera.sources import io
 
 def now():
@@ -212,7 +212,7 @@ def test_tokens_and_lists(spark):
     index = search.token_index(m)
     assert {r.id for r in search.by_token(m, index, "LOADCONFIG").collect()} == {1}
     assert {r.id for r in search.by_token_part(m, index, "case").collect()} == {2}
-    assert search.postings(m.withColumn("scope_path", F.lit("s")), ("content",)).filter("term = 'loadconfig'").count() == 2
+    assert lexicon.postings(m, ("content",)).filter("term = 'loadconfig'").count() == 2
 
 
 def test_episode_gap_is_strict(spark):
@@ -229,14 +229,15 @@ def test_empty_store(spark):
     assert {r.n for r in records.status_counts(empty).collect()} == {0}
 
 
-def test_stems(spark):
+def test_stems(spark, tmp_path):
     from tessera.functions import stem
 
     pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall filing file happy happi sky sky relational relat conditional condit digitizer digit operator oper feudalism feudal formaliti formal triplicate triplic hopeful hope goodness good revival reviv adjustment adjust adoption adopt probate probat rate rate controll control roll roll".split()
     assert [stem.stem(w) for w in pairs[::2]] == pairs[1::2]
     m = spark.createDataFrame([(1, "connecting services", "s"), (2, "connected", "s"), (3, "other words", "s")], "id long, content string, scope_path string")
-    assert {r.id for r in search.bm25(m, ["connection"], stems=True).collect()} == {1, 2}
-    assert search.bm25(m, ["connection"]).count() == 0
+    index = lexicon.build(m, ("content", "scope_path"), str(tmp_path))
+    assert {r.id for r in index.scores(["Connection!"]).collect()} == {1, 2}
+    assert index.scores(["missing"]).count() == index.scores(["..."]).count() == 0
 
 
 def test_hooks(spark):
