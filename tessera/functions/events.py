@@ -146,11 +146,11 @@ EMPTY = tuple("what when where why how which who did does do is are was were be
 def query_signals(query: Column) -> Column:
     """struct(counting, multi_hop, temporal, names, keywords) of a question."""
     low = F.lower(query)
-    names = F.transform(F.array_except(F.regexp_extract_all(query, F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0)), F.array(*map(F.lit, ASKING))), lambda w: F.lower(w))
+    names = F.transform(F.array_except(F.regexp_extract_all(query, F.lit(X.ascii_words(r"\b[A-Z][a-z]+\b")), F.lit(0)), F.array(*map(F.lit, ASKING))), lambda w: F.lower(w))
     words = F.filter(F.split(F.regexp_replace(low, r"[^a-z0-9\s]", " "), r"\s+"), lambda w: (F.length(w) >= 3) & ~w.isin(*EMPTY))
     return F.struct(
-        low.rlike(r"how many|number of|times\b|count\b").alias("counting"),
-        low.rlike(r"and|both|compare|versus|vs\b|together|relationship|between").alias("multi_hop"),
+        low.rlike(X.ascii_words(r"how many|number of|times\b|count\b")).alias("counting"),
+        low.rlike(X.ascii_words(r"and|both|compare|versus|vs\b|together|relationship|between")).alias("multi_hop"),
         low.rlike(r"when|what date|what time|how long ago|before|after|during|last\s+\w+|next\s+\w+").alias("temporal"),
         names.alias("names"),
         words.alias("keywords"),

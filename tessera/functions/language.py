@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of
+from .text import any_of, ascii_words
 
 # Patterns (3 points each) and keywords (1 point each) of the intents, in order of precedence.
 INTENTS = {
@@ -39,6 +39,7 @@ INTENTS = {
 EXPLORATORY = (r"^how\s+(do|does|can|should|would)", r"^what\s+(is|are|was|were|does|do)", r"^why\s+(is|are|do|does|did|would)", r"^when\s+(should|do|does|did)", r"^where\s+(is|are|do|does|should)", r"^which\s+(is|are|should|would)", r"explain", r"tell me about", r"describe", r"walk me through")
 COMPLEX = (r"architecture", r"design\s+(pattern|decision)", r"trade-?off", r"comparison", r"difference\s+between", r"history\s+of", r"evolution", r"all\s+(the|of)", r"everything\s+about", r"comprehensive", r"complete\s+(overview|picture|understanding)")
 
+# How a query names a module, an area, a file.
 MODULE = r"(?i)(?:in\s+(?:the\s+)?|the\s+)([a-zA-Z0-9_-]+)\s+(?:module|directory|folder|package|component|service)"
 AREA = r"(?i)(?:in\s+|the\s+)?([a-zA-Z0-9_-]+)\s+(?:code|logic|layer|part)"
 FILE = r"([A-Za-z0-9_./-]+\.[a-zA-Z]{1,5})\b"
@@ -67,7 +68,7 @@ CORRECTION = r"^\s*(?:no|nope|wrong|incorrect|don't|stop)"
 
 def hits(text: Column, patterns: tuple[str, ...]) -> Column:
     """How many of the patterns (any case) match."""
-    return sum((text.rlike(f"(?i){p}").cast("int") for p in patterns), F.lit(0))
+    return sum((text.rlike(ascii_words(f"(?i){p}")).cast("int") for p in patterns), F.lit(0))
 
 
 def first_largest(scores: dict[str, Column], least: int, otherwise: str | None) -> Column:
@@ -79,15 +80,21 @@ def first_largest(scores: dict[str, Column], least: int, otherwise: str | None)
     return out
 
 
+def counted_once(scores: dict[str, Column], made) -> Column:
+    """``made`` of scores (by name) that are computed once."""
+    bound = F.array(F.struct(*(v.alias(n) for n, v in scores.items())))
+    return F.element_at(F.transform(bound, lambda s: made({n: s[n] for n in scores})), 1)
+
+
 def intent(query: Column) -> Column:
     low = F.lower(query)
     points = {name: 3 * hits(query, patterns) + sum((F.contains(low, F.lit(k)).cast("int") for k in keywords), F.lit(0)) for name, (patterns, keywords) in INTENTS.items()}
-    return first_largest(points, 2, "general")
+    return counted_once(points, lambda p: first_largest(p, 2, "general"))
 
 
 def scope(query: Column) -> Column:
     """struct(type, path, confidence) that a query hints at; null without a hint."""
-    part = lambda pattern: F.nullif(F.regexp_extract(query, pattern, 1), F.lit(""))
+    part = lambda pattern: F.nullif(F.regexp_extract(query, ascii_words(pattern), 1), F.lit(""))
     made = lambda kind, path, trust: F.struct(F.lit(kind).alias("type"), path.alias("path"), F.lit(trust).alias("confidence"))
     area = F.lower(part(AREA))
     low = F.lower(query)
@@ -126,12 +133,22 @@ def sentences(text: Column, least: int = 10) -> Column:
     return F.array_distinct(F.filter(F.concat(cut(r"(?<=[.!?])\s+"), cut(r"\n+")), lambda s: F.length(s) > least))
 
 
+def statements(text: Column, least: int) -> Column:
+    """Sentences and lines of at least ``least`` characters, cut in one go, in order."""
+    parts = F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda s: F.length(s) >= least)
+
+
 def extraction(text: Column) -> Column:
     """struct(type, hits, confidence) by pattern votes; null without a vote."""
     votes = {name: hits(text, patterns) for name, patterns in EXTRACTION.items()}
-    top = F.greatest(*votes.values())
-    trust = F.when(top >= 3, "high").when(top == 2, "medium").otherwise("low")
-    return F.when(top > 0, F.struct(first_largest(votes, 1, None).alias("type"), top.alias("hits"), trust.alias("confidence")))
+
+    def winner(v: dict[str, Column]) -> Column:
+        top = F.greatest(*v.values())
+        trust = F.when(top >= 3, "high").when(top == 2, "medium").otherwise("low")
+        return F.when(top > 0, F.struct(first_largest(v, 1, None).alias("type"), top.alias("hits"), trust.alias("confidence")))
+
+    return counted_once(votes, winner)
 
 
 def corrections(text: Column) -> Column:
@@ -169,37 +186,44 @@ def anchored_date(anchor: Column, session: Column) -> Column:
     """The date an expression means: explicit, else relative to the session's, else the session's."""
 
     def part(pattern: str, g: int) -> Column:
-        return F.nullif(F.regexp_extract(anchor, f"(?i){pattern}", g), F.lit(""))
+        return F.nullif(F.regexp_extract(anchor, ascii_words(f"(?i){pattern}"), g), F.lit(""))
 
+    number = lambda c: F.try_to_number(c, F.lit("999999")).cast("int")
     dmy, mdy, dm = rf"\b(\d{{1,2}})\s+({NAMED})\s+(\d{{4}})\b", rf"\b({NAMED})\s+(\d{{1,2}})(?:,?\s+(\d{{4}}))?\b", rf"\b(\d{{1,2}})\s+({NAMED})\b"
-    year = F.year(session)
-    explicit = F.coalesce(
-        rolled_date(part(dmy, 3).cast("int"), month_number(part(dmy, 2)), part(dmy, 1).cast("int")),
-        rolled_date(F.coalesce(part(mdy, 3).cast("int"), year), month_number(part(mdy, 1)), part(mdy, 2).cast("int")),
-        rolled_date(year, month_number(part(dm, 2)), part(dm, 1).cast("int")),
-    )
     ago = r"\b(\d+|a|an)\s+(day|week|month|year)s?\s+ago\b"
-    count = F.when(F.lower(part(ago, 1)).isin("a", "an"), 1).otherwise(F.try_to_number(part(ago, 1), F.lit("999999")).cast("int"))
     named = r"\b(last|this|next)\s+(week|month|year|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b"
-    way, unit = F.lower(part(named, 1)), F.lower(part(named, 2))
-
-    def shifted(n: Column, u: Column) -> Column:
-        return (
-            F.when(u == "day", F.date_add(session, n.cast("int")))
-            .when(u == "week", F.date_add(session, (n * 7).cast("int")))
-            .when(u == "month", rolled_date(year, F.month(session) + n, F.day(session)))
-            .when(u == "year", rolled_date(year + n, F.month(session), F.day(session)))
+    year = F.year(session)
+    found = {
+        "y": F.coalesce(number(part(dmy, 3)), number(part(mdy, 3)), year),
+        "m": F.coalesce(month_number(part(dmy, 2)), month_number(part(mdy, 1)), month_number(part(dm, 2))),
+        "d": F.coalesce(number(part(dmy, 1)), number(part(mdy, 2)), number(part(dm, 1))),
+        "today": anchor.rlike(ascii_words(r"(?i)\b(today|tonight)\b")),
+        "yesterday": anchor.rlike(ascii_words(r"(?i)\byesterday\b")),
+        "n": F.when(F.lower(part(ago, 1)).isin("a", "an"), 1).otherwise(number(part(ago, 1))),
+        "units": F.lower(part(ago, 2)),
+        "way": F.lower(part(named, 1)),
+        "unit": F.lower(part(named, 2)),
+        "from": session,
+    }
+
+    def meant(f: dict[str, Column]) -> Column:
+        start = f["from"]
+
+        def shifted(n: Column, u: Column) -> Column:
+            months = F.when(u == "month", n).when(u == "year", n * 12)
+            return F.when(u.isin("day", "week"), F.date_add(start, F.when(u == "week", n * 7).otherwise(n).cast("int"))).otherwise(rolled_date(F.year(start), F.month(start) + months, F.day(start)))
+
+        days = F.array(*map(F.lit, ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")))
+        delta = F.array_position(days, f["unit"]) - F.dayofweek(start)
+        delta = F.when((f["way"] == "last") & (delta >= 0), delta - 7).when((f["way"] == "next") & (delta <= 0), delta + 7).otherwise(delta)
+        n = F.when(f["n"].isNotNull(), -f["n"]).when(f["way"] == "last", -1).otherwise(1)
+        relative = (
+            F.when(f["today"], start)
+            .when(f["yesterday"], F.date_sub(start, 1))
+            .when(f["n"].isNull() & f["unit"].endswith("day"), F.date_add(start, delta.cast("int")))
+            .when(f["n"].isNull() & (f["way"] == "this"), start)
+            .when(f["n"].isNotNull() | f["way"].isNotNull(), shifted(n, F.when(f["n"].isNotNull(), f["units"]).otherwise(f["unit"])))
         )
+        return F.coalesce(F.when(f["m"].isNotNull(), rolled_date(f["y"], f["m"], f["d"])), relative, start)
 
-    days = F.array(*map(F.lit, ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")))
-    delta = F.array_position(days, unit) - F.dayofweek(session)
-    delta = F.when((way == "last") & (delta >= 0), delta - 7).when((way == "next") & (delta <= 0), delta + 7).otherwise(delta)
-    relative = (
-        F.when(anchor.rlike(r"(?i)\b(today|tonight)\b"), session)
-        .when(anchor.rlike(r"(?i)\byesterday\b"), F.date_sub(session, 1))
-        .when(count.isNotNull(), shifted(-count, F.lower(part(ago, 2))))
-        .when(unit.endswith("day"), F.date_add(session, delta.cast("int")))
-        .when(way == "this", session)
-        .when(way.isNotNull(), shifted(F.when(way == "last", -1).otherwise(1), unit))
-    )
-    return F.coalesce(explicit, relative, session)
+    return counted_once(found, meant)

@@ -8,16 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def ascii_words(pattern: str) -> str:
+    """A pattern whose \\b lies beside ASCII letters, digits and _ only, as \\w does; the engine's own heeds all letters."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
 def estimate_tokens(text: Column) -> Column:
     """About four characters a token, at least one a word; blank: 0."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: F.length(w) > 0)
-    by_word = F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s + F.greatest(F.lit(1), F.ceil(F.length(w) / 4)).cast("long"))
+    by_word = F.regexp_count(text, F.lit(r"\S{1,4}")).cast("long")  # of each word as many as it has fours of characters, rounded up
     rough = F.ceil(F.length(text) / 4).cast("long")
-    return F.when(text.isNull() | (F.size(words) == 0), F.lit(0).cast("long")).otherwise(F.greatest(rough, by_word))
+    return F.when(text.isNull() | (by_word == 0), F.lit(0).cast("long")).otherwise(F.greatest(rough, by_word))
 
 
 def content_hash(text: Column) -> Column:
@@ -25,13 +29,28 @@ def content_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+#: What separates words for ``rolling_hash``, beyond ASCII white space.
+SPACES = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
+
 def rolling_hash(text: Column) -> Column:
-    """Key prefix_length_checksum of squeezed lower-cased text; the checksum is a 32-bit h * 31 + c in base 36."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Key prefix_length_checksum of squeezed lower-cased text.
+
+    The prefix has 32 characters, the checksum is a 32-bit h * 31 + c, without its sign,
+    in base 36; characters are those of UTF-16 (a prefix doesn't end within a pair).
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), SPACES, " "), "^ | $", "")
+    units = lambda t: F.floor(F.octet_length(F.encode(t, "UTF-16BE")) / 2)
     wrap = lambda h: F.pmod(h + 2147483648, F.lit(4294967296)) - 2147483648
-    codes = F.transform(F.sequence(F.lit(1), F.length(plain)), lambda i: F.ascii(F.substring(plain, i, F.lit(1))).cast("long"))
-    sum_ = F.when(F.length(plain) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + c)))
-    return F.lower(F.conv(F.abs(sum_).cast("string"), 10, 36))
+
+    def add(h: Column, char: Column) -> Column:
+        c = F.ascii(char).cast("long")
+        high, low = 0xD800 + F.shiftright(c - 0x10000, 10), 0xDC00 + F.pmod(c, F.lit(1024))
+        return F.when(c < 0x10000, wrap(h * 31 + c)).otherwise(wrap(wrap(h * 31 + high) * 31 + low))
+
+    total = F.aggregate(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), F.lit(0).cast("long"), add)
+    cut = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(32)), lambda k: units(F.substring(plain, F.lit(1), k)) <= 32))
+    return F.concat_ws("_", F.substring(plain, F.lit(1), cut), units(plain).cast("string"), F.lower(F.conv(F.abs(total).cast("string"), 10, 36)))
 
 
 def duplicate_key(text: Column) -> Column:
@@ -87,7 +106,7 @@ TOKEN_FAMILIES = (
 def typed_tokens(text: Column) -> Column:
     """array of struct(token, type): significant tokens, the first of those equal in lower case, of two characters or more."""
     typed = lambda kind: lambda t: F.struct(t.alias("token"), F.lit(kind).alias("type"))
-    found = F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), typed(kind)) for kind, p in TOKEN_FAMILIES))
+    found = F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(ascii_words(p)), F.lit(0)), typed(kind)) for kind, p in TOKEN_FAMILIES))
     long = F.filter(found, lambda t: F.length(t["token"]) >= 2)
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<struct<token:string,type:string>>").alias("out"))
 
@@ -100,7 +119,7 @@ def typed_tokens(text: Column) -> Column:
 
 def sanitized(text: Column) -> Column:
     """Keys, bearer tokens and cloud keys redacted, in that order."""
-    text = F.regexp_replace(text, r"(?i)\b(?:sk-|api[_-]?key|token|secret|password|auth)[_-]?[a-zA-Z0-9]{20,}", "[REDACTED]")
+    text = F.regexp_replace(text, ascii_words(r"(?i)\b(?:sk-|api[_-]?key|token|secret|password|auth)[_-]?[a-zA-Z0-9]{20,}"), "[REDACTED]")
     text = F.regexp_replace(text, r"(?i)Bearer\s+[a-zA-Z0-9._-]+", "Bearer [REDACTED]")
     return F.regexp_replace(text, r"AKIA[A-Z0-9]{16}", "[REDACTED_AWS_KEY]")
 
@@ -135,7 +154,7 @@ TESTS = (r"(?i)\d+ tests? passed", r"(?i)\d+ tests? failed", r"(?i)tests?:\s*\d+
 
 def event_type(text: Column, tool: Column | None = None, exit_code: Column | None = None) -> Column:
     """tool_output, error, diff, test_summary or turn, in this order of precedence."""
-    matches = lambda patterns: any_of([text.rlike(p) for p in patterns])
+    matches = lambda patterns: any_of([text.rlike(ascii_words(p)) for p in patterns])
     error = matches(ERROR)
     if exit_code is not None:
         error = F.coalesce(exit_code != 0, F.lit(False)) | error
@@ -145,12 +164,12 @@ def event_type(text: Column, tool: Column | None = None, exit_code: Column | Non
 
 def file_paths(text: Column) -> Column:
     unix = F.filter(F.regexp_extract_all(text, F.lit(r"(?:/[\w.-]+)+(?:\.\w+)?"), F.lit(0)), lambda p: (F.length(p) > 2) & ~p.startswith("//"))
-    return F.array_distinct(F.concat(unix, F.regexp_extract_all(text, F.lit(r"\b[\w.-]+/[\w./-]+\.\w+"), F.lit(0))))
+    return F.array_distinct(F.concat(unix, F.regexp_extract_all(text, F.lit(ascii_words(r"\b[\w.-]+/[\w./-]+\.\w+")), F.lit(0))))
 
 
 def error_codes(text: Column) -> Column:
     parts = ((r"\b(?:E|ERR_?|ERROR_?)[A-Z0-9_]+\b", 0), (r"\bEXIT_?\d+\b", 0), (r"(?i)\berror\s*code[:\s]+(\w+)", 1), (r"(?i)\berrno[:\s]+(\d+)", 1))
-    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in parts)))
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(ascii_words(p)), F.lit(g)) for p, g in parts)))
 
 
 def commands(text: Column) -> Column:
@@ -163,7 +182,7 @@ def versions(text: Column) -> Column:
     """array of struct(package, version): name@1.2 and name==1.2."""
 
     def pairs(pattern: str) -> Column:
-        names, numbers = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
+        names, numbers = (F.regexp_extract_all(text, F.lit(ascii_words(pattern)), F.lit(g)) for g in (1, 2))
         return F.zip_with(names, numbers, lambda n, v: F.struct(n.alias("package"), v.alias("version")))
 
     return F.concat(pairs(r"\b([\w@/-]+)@(\d+\.\d+(?:\.\d+)?(?:-[\w.]+)?)\b"), pairs(r"\b([\w-]+)==(\d+\.\d+(?:\.\d+)?(?:\.\w+)?)\b"))

@@ -111,7 +111,10 @@ def jaccard_pairs(spark, d):
     return shared.withColumn("similarity", similarity).filter("similarity >= 0.1").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-# --- statements: literal rows, as the generated prose has none of the trigger words ---
+# --- statements: all documents, and literal rows with the trigger words that their prose may lack ---
+
+#: Ids of documents begin here among statements.
+FIRST_DOC = 1000
 
 QUERY_TEXTS = (
     "why does the build fail on startup", "how should we name test files", "how do I add a retry to the client", "what is the architecture of the storage layer",
@@ -126,12 +129,15 @@ STATEMENTS = (
 )
 
 
-def rows(spark, texts):
-    return spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+def rows(spark, texts, d):
+    """id, text: literal rows, and every document."""
+    own = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    return own.unionByName(V.read(spark, d, "documents").select((F.col("doc_id") + FIRST_DOC).alias("id"), "text"))
 
 
 def values(texts) -> str:
-    return "t(id, text) AS (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(texts)) + ")"
+    literal = ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(texts))
+    return f"t(id, text) AS (SELECT * FROM (VALUES {literal}) v(id, text) UNION ALL SELECT doc_id + {FIRST_DOC}, text FROM documents)"
 
 
 def quoted(s: str) -> str:
@@ -151,12 +157,12 @@ def intent_sql() -> str:
 
 @query("intent_classify", intent_sql())
 def intent_classify(spark, d):
-    return rows(spark, QUERY_TEXTS).select("id", L.intent(F.col("text")).alias("intent"))
+    return rows(spark, QUERY_TEXTS, d).select("id", L.intent(F.col("text")).alias("intent"))
 
 
 @query("level_suggest", f"WITH {values(QUERY_TEXTS)} SELECT id, CASE WHEN {count_sql(L.COMPLEX)} > 0 THEN 'deep' ELSE 'task' END AS level FROM t")
 def level_suggest(spark, d):
-    return rows(spark, QUERY_TEXTS).select("id", L.level(F.col("text")).alias("level"))
+    return rows(spark, QUERY_TEXTS, d).select("id", L.level(F.col("text")).alias("level"))
 
 
 def scope_sql() -> str:
@@ -169,7 +175,7 @@ def scope_sql() -> str:
 
 @query("scope_extract", scope_sql())
 def scope_extract(spark, d):
-    return rows(spark, QUERY_TEXTS).select("id", L.scope(F.col("text")).alias("s")).select("id", "s.type", "s.path")
+    return rows(spark, QUERY_TEXTS, d).select("id", L.scope(F.col("text")).alias("s")).select("id", "s.type", "s.path")
 
 
 def vote_sql() -> str:
@@ -180,12 +186,12 @@ def vote_sql() -> str:
 
 @query("pattern_vote", vote_sql())
 def pattern_vote(spark, d):
-    return rows(spark, STATEMENTS).select("id", L.extraction(F.col("text")).alias("e")).filter("e is not null").select("id", "e.type", "e.hits")
+    return rows(spark, STATEMENTS, d).select("id", L.extraction(F.col("text")).alias("e")).filter("e is not null").select("id", "e.type", "e.hits")
 
 
 @query("uncertainty", f"WITH {values(STATEMENTS)}, s AS (SELECT id, {' + '.join(f'CAST(contains(lower(text), {quoted(p)}) AS INTEGER)' for p in text.DOUBT)} AS n FROM t) SELECT id, n AS triggers, round(least(n * 0.3, 1)::DOUBLE, 6) AS confidence FROM s")
 def uncertainty(spark, d):
-    return rows(spark, STATEMENTS).select("id", text.uncertainty(F.col("text")).alias("u")).select("id", F.size("u.triggers").alias("triggers"), F.round("u.confidence", 6).alias("confidence"))
+    return rows(spark, STATEMENTS, d).select("id", text.uncertainty(F.col("text")).alias("u")).select("id", F.size("u.triggers").alias("triggers"), F.round("u.confidence", 6).alias("confidence"))
 
 
 def kind_sql() -> str:
@@ -195,33 +201,57 @@ def kind_sql() -> str:
 
 @query("event_kinds", kind_sql())
 def event_kinds(spark, d):
-    return rows(spark, STATEMENTS).select("id", text.event_type(F.col("text")).alias("kind"))
+    return rows(spark, STATEMENTS, d).select("id", text.event_type(F.col("text")).alias("kind"))
 
 
 @query("noise_reasons", f"WITH {values(STATEMENTS)} SELECT id, CASE {' '.join(f'WHEN regexp_matches(text, {quoted(p)}) THEN {quoted(r)}' for p, r in text.NOISE)} END AS reason FROM t")
 def noise_reasons(spark, d):
-    return rows(spark, STATEMENTS).select("id", text.noise_reason(F.col("text")).alias("reason"))
+    return rows(spark, STATEMENTS, d).select("id", text.noise_reason(F.col("text")).alias("reason"))
 
 
-@query("sanitize_statements", rf"""WITH {values(STATEMENTS)} SELECT id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(?:sk-|api[_-]?key|token|secret|password|auth)[_-]?[a-zA-Z0-9]{{20,}}', '[REDACTED]', 'g'), '(?i)Bearer\s+[a-zA-Z0-9._-]+', 'Bearer [REDACTED]', 'g'), 'AKIA[A-Z0-9]{{16}}', '[REDACTED_AWS_KEY]', 'g') AS clean FROM t""")
+@query("sanitize_statements", rf"""WITH {values(STATEMENTS)} SELECT id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(?:sk-|api[_-]?key|token|secret|password|auth)[_-]?[a-zA-Z0-9]{{20,}}', '[REDACTED]', 'g'), '(?i)Bearer\s+[a-zA-Z0-9._-]+', 'Bearer [REDACTED]', 'g'), 'AKIA[A-Z0-9]{{16}}', '[REDACTED_AWS_KEY]', 'g')) AS clean FROM t""")
 def sanitize_statements(spark, d):
-    return rows(spark, STATEMENTS).select("id", text.sanitized(F.col("text")).alias("clean"))
+    return rows(spark, STATEMENTS, d).select("id", F.sha2(text.sanitized(F.col("text")), 256).alias("clean"))
 
 
 @query("token_index", f"WITH {values(STATEMENTS)}, " + """x AS (""" + " UNION ALL ".join(f"SELECT id, {i} AS family, {quoted(k)} AS type, unnest(regexp_extract_all(text, {quoted(p)})) AS token FROM t" for i, (k, p) in enumerate(text.TOKEN_FAMILIES)) + ") SELECT id, lower(token) AS token, arg_min(type, family) AS type FROM x WHERE length(token) >= 2 GROUP BY 1, 2")
 def token_index(spark, d):
-    return X.token_index(rows(spark, STATEMENTS).withColumnRenamed("text", "content"))
+    return X.token_index(rows(spark, STATEMENTS, d).withColumnRenamed("text", "content"))
 
 
 @query("corrections", f"WITH {values(STATEMENTS)}, c AS (" + " UNION ALL ".join(f"SELECT id, trim(regexp_extract(text, {quoted('(?i)' + p)}, 0)) AS content, '{s}' AS severity FROM t" + (f" WHERE regexp_matches(text, {quoted('(?i)' + L.CORRECTION)})" if s == "should" else "") for s, ps in (("must", L.MUST), ("should", L.SHOULD)) for p in ps) + ") SELECT * FROM c WHERE content <> ''")
 def corrections(spark, d):
-    return rows(spark, STATEMENTS).select("id", F.explode(L.corrections(F.col("text"))).alias("c")).select("id", "c.content", "c.severity")
-
-
-@query("relative_dates", """WITH t(id, anchor, day) AS (VALUES (0, 'yesterday', DATE '2023-05-09'), (1, '8 May 2023', DATE '2023-05-01'), (2, '2 weeks ago', DATE '2023-05-08'), (3, '3 months ago', DATE '2023-03-15'), (4, 'last friday', DATE '2023-05-09'),
- (5, 'next monday', DATE '2023-05-09'), (6, 'this month', DATE '2023-05-09'), (7, 'nothing', DATE '2023-05-09'), (8, 'March 3', DATE '2023-05-09'), (9, 'a year ago', DATE '2024-02-29'))
- SELECT id, CASE id WHEN 0 THEN '2023-05-08' WHEN 1 THEN '2023-05-08' WHEN 2 THEN '2023-04-24' WHEN 3 THEN '2022-12-15' WHEN 4 THEN '2023-05-05' WHEN 5 THEN '2023-05-15' WHEN 6 THEN '2023-05-09' WHEN 7 THEN '2023-05-09' WHEN 8 THEN '2023-03-03' ELSE '2023-03-01' END AS date FROM t""")
+    return rows(spark, STATEMENTS, d).select("id", F.explode(L.corrections(F.col("text"))).alias("c")).select("id", "c.content", "c.severity")
+
+
+# what a row of events says about a date, by its id; n is from 1 to 30
+SAID = {
+    "yesterday": "yesterday", "today": "Today at noon", "ago": "{n} {unit}s ago", "one": "a {unit} ago", "named": "{way} {named}", "dmy": "{n} {month} {year}", "mdy": "{month} {n}, {year}", "md": "{month} {n}", "dm": "on {n} {month}", "none": "nothing",
+}
+UNITS, WAYS = ("day", "week", "month", "year"), ("last", "this", "next")
+NAMED = ("week", "month", "year", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+PARTS_SQL = f"""p AS (SELECT event_id AS id, CAST(ts AS DATE) AS day, ({list(SAID)})[event_id % {len(SAID)} + 1] AS form, event_id // 10 % 30 + 1 AS n, ({list(UNITS)})[event_id // 300 % 4 + 1] AS unit, ({list(WAYS)})[event_id // 10 % 3 + 1] AS way,
+ ({list(NAMED)})[event_id // 30 % 10 + 1] AS named, event_id // 7 % 12 + 1 AS m, 2020 + event_id % 5 AS y FROM events)"""
+ROLLED = "make_date(CAST(({0}) // 12 AS BIGINT), CAST(({0}) % 12 AS BIGINT) + 1, 1) + CAST({1} AS INTEGER)"  # months from year 0, days on
+
+
+@query("relative_dates", f"""WITH {PARTS_SQL}, w AS (SELECT *, year(day) * 12 + month(day) - 1 AS months, day(day) - 1 AS d, CASE WHEN form = 'one' THEN 1 ELSE n END AS c, list_position({list(NAMED[3:])}, named) - isodow(day) AS ahead,
+ CASE way WHEN 'last' THEN -1 WHEN 'next' THEN 1 ELSE 0 END AS s FROM p)
+ SELECT id, strftime(CASE WHEN form = 'yesterday' THEN day - 1 WHEN form IN ('ago', 'one') THEN CASE unit WHEN 'day' THEN day - CAST(c AS INTEGER) WHEN 'week' THEN day - CAST(7 * c AS INTEGER) WHEN 'month' THEN {ROLLED.format('months - c', 'd')} ELSE {ROLLED.format('months - 12 * c', 'd')} END
+ WHEN form = 'named' THEN CASE named WHEN 'week' THEN day + CAST(7 * s AS INTEGER) WHEN 'month' THEN {ROLLED.format('months + s', 'd')} WHEN 'year' THEN {ROLLED.format('months + 12 * s', 'd')}
+  ELSE day + CAST(CASE WHEN way = 'last' AND week_ahead >= 0 THEN week_ahead - 7 WHEN way = 'next' AND week_ahead <= 0 THEN week_ahead + 7 ELSE week_ahead END AS INTEGER) END
+ WHEN form IN ('dmy', 'mdy') THEN {ROLLED.format('y * 12 + m - 1', 'n - 1')} WHEN form IN ('md', 'dm') THEN {ROLLED.format('year(day) * 12 + m - 1', 'n - 1')} ELSE day END, '%Y-%m-%d') AS date
+ FROM (SELECT *, list_position(['sunday', 'monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday'], named) - 1 - dayofweek(day) AS week_ahead FROM w)""")
 def relative_dates(spark, d):
-    anchors = [("yesterday", "2023-05-09"), ("8 May 2023", "2023-05-01"), ("2 weeks ago", "2023-05-08"), ("3 months ago", "2023-03-15"), ("last friday", "2023-05-09"), ("next monday", "2023-05-09"), ("this month", "2023-05-09"), ("nothing", "2023-05-09"), ("March 3", "2023-05-09"), ("a year ago", "2024-02-29")]
-    t = spark.createDataFrame([(i, a, s) for i, (a, s) in enumerate(anchors)], "id int, anchor string, day string")
-    return t.select("id", L.anchored_date(F.col("anchor"), F.to_date("day")).cast("string").alias("date"))
+    """Each event as a message that names a date in one of several ways, and its day as the session's."""
+    i = F.col("event_id")
+    pick = lambda names, place: V.nth(tuple(names), place)
+    div = lambda k: F.floor(i / k)
+    parts = {
+        "n": (div(10) % 30 + 1).cast("string"), "unit": pick(UNITS, div(300) % 4), "way": pick(WAYS, div(10) % 3), "named": pick(NAMED, div(30) % 10),
+        "month": F.initcap(pick(L.MONTHS, div(7) % 12)), "year": (2020 + i % 5).cast("string"),
+    }
+    said = pick(tuple(SAID.values()), i % len(SAID))
+    for name, value in parts.items():
+        said = F.replace(said, F.lit("{" + name + "}"), value)
+    return V.read(spark, d, "events").select(i.alias("id"), L.anchored_date(said, F.to_date("ts")).cast("string").alias("date"))

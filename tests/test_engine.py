@@ -34,8 +34,33 @@ def test_text_functions(spark):
     assert one(spark, text.estimate_tokens(F.lit("   ")).alias("n")).n == 0
     assert one(spark, text.test_counts(F.lit("Tests: 10 passed, 2 failed, 12 total")).alias("t")).t.asDict() == {"passed": 10, "failed": 2, "skipped": 0, "total": 12}
     assert one(spark, text.test_counts(F.lit("3 passed, 1 failed in 5s")).alias("t")).t.total == 4
-    same = one(spark, (text.rolling_hash(F.lit("hello  World")) == text.rolling_hash(F.lit("Hello world"))).alias("x"))
-    assert same.x
+
+
+def rolling(said):
+    """The key, character by character of UTF-16."""
+    import re
+
+    plain = re.sub(r"[\s\ufeff]+", " ", said.lower()).strip()
+    raw = plain.encode("utf-16-be")
+    units, h = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)], 0
+    for c in units:
+        h = (h * 31 + c + 2**31) % 2**32 - 2**31
+    h, digits = abs(h), ""
+    while h or not digits:
+        digits, h = "0123456789abcdefghijklmnopqrstuvwxyz"[h % 36] + digits, h // 36
+    prefix = plain[:32]
+    while len(prefix.encode("utf-16-be")) > 64:
+        prefix = prefix[:-1]
+    return f"{prefix}_{len(units)}_{digits}"
+
+
+def test_rolling_hash(spark):
+    texts = ["hello world", "Hello   WORLD ", "", "a", "a🎉b", "x" * 100, "\u00a0tab\tand\nline\u2003", "🎉" * 40, "ÉCOLE straße", "Some content to hash " * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = [r.k for r in rows.orderBy("id").select(text.rolling_hash(F.col("t")).alias("k")).collect()]
+    assert got == [rolling(t) for t in texts]
+    # worked out by hand: 97 * 31^2 + 98 * 31 + 99 and so on
+    assert got[0] == got[1] == "hello world_11_to5x38" and got[2] == "_0_0" and got[3] == "a_1_2p" and got[4] == "a🎉b_4_yg5ro"
 
 
 def test_search_terms_drop_stop_words(spark):
