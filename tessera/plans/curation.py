@@ -1,9 +1,13 @@
-"""Queries over packs, disclosure, curation, facts and symbols; literal rows where the tables have no such text."""
+"""Queries over packs, disclosure, curation, facts and symbols, each with its SQL where SQL can express it.
+
+Sessions are all conversations, and literal rows with the trigger words that their prose may lack.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import language as L
 from ..operators import context as P
 from ..operators import curate as C
 from ..operators import evidence as E
@@ -11,6 +15,7 @@ from ..operators import records as R
 from ..operators import search as X
 from ..sources import views as V
 from .retrieval import searched
+from .sessions import count_sql, quoted
 
 QUERIES, SQL = {}, {}
 
@@ -90,39 +95,125 @@ EVENTS = (
 )
 
 
-def events(spark):
+FIRST_SESSION, FIRST_EVENT = 100, 1_000_000
+
+
+def events(spark, d):
+    """Literal events, and every turn as one: an assistant's every third is a tool's output, which succeeds in every second session."""
     rows = spark.createDataFrame(list(EVENTS), "session_id long, event_id long, at long, event_type string, content string, tool_name string, exit_code int")
-    return rows.withColumn("ts", F.timestamp_seconds("at"))
+    pos = F.col("pos")
+    tool = (F.col("role") == "assistant") & (pos % 3 == 0)
+    turns = V.turns(spark, d).select(
+        (F.col("session_id") + FIRST_SESSION).alias("session_id"), (F.col("session_id") * 1000 + pos + FIRST_EVENT).alias("event_id"), (pos * 40).cast("long").alias("at"),
+        F.when(F.col("role") == "user", "user_prompt").when(tool, "tool_output").otherwise("turn").alias("event_type"), "content",
+        F.when(tool, "bash").alias("tool_name"), F.when(tool, F.col("session_id") % 2).cast("int").alias("exit_code"),
+    )
+    return rows.unionByName(turns).withColumn("ts", F.timestamp_seconds("at"))
+
+
+def literal(v) -> str:
+    return "NULL" if v is None else str(v) if isinstance(v, int) else quoted(v).replace("\n", "' || chr(10) || '")
+
+
+EV = f"""ev AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join(map(literal, e)) + ")" for e in EVENTS)}) v(session_id, event_id, sec, event_type, content, tool_name, exit_code)
+ UNION ALL SELECT conv_id + {FIRST_SESSION}, conv_id * 1000 + turn + {FIRST_EVENT}, turn * 40, CASE WHEN role = 'user' THEN 'user_prompt' WHEN role = 'assistant' AND turn % 3 = 0 THEN 'tool_output' ELSE 'turn' END, text,
+ CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN 'bash' END, CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN conv_id % 2 END FROM conversations)"""
+
+
+def first_of(patterns, group: int, flags: str = "") -> str:
+    return "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(content, {quoted(flags + p)}, {group})), '')" for p in patterns) + ")"
+
+
+def ahead(condition: str, said: str) -> str:
+    """The next event of the session that meets a condition."""
+    return f"first_value(CASE WHEN {condition} THEN {{'sec': sec, 'id': event_id, 'said': {said}}} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY sec, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+
+
+FIXED = f"""told AS (SELECT *, substr({first_of(C.FIXES, 1, "(?i)")}, 1, 300) AS how FROM ev),
+ ahead AS (SELECT *, {ahead("event_type = 'tool_output' AND exit_code = 0", "tool_name")} AS ok, {ahead("how IS NOT NULL", "how")} AS say FROM told),
+ failed AS (SELECT *, substr({first_of(C.SIGNATURES, 1)}, 1, 200) AS signature, CASE WHEN say.sec < ok.sec OR (say.sec = ok.sec AND say.id < ok.id) THEN say.said WHEN ok.said IN ('edit', 'write') THEN 'Applied ' || ok.said || ' operation' END AS fix FROM ahead
+ WHERE event_type = 'tool_output' AND exit_code <> 0 AND ok.sec - sec <= 300),
+ fixes AS (SELECT session_id, event_id AS error_id, ok.id AS success_id, signature, fix FROM failed WHERE signature IS NOT NULL AND fix IS NOT NULL)"""
+PHRASES = " UNION ALL ".join(f"SELECT session_id, nullif(trim(lower(regexp_extract(content, {quoted('(?i)' + p)}, 0))), '') AS phrase FROM ev" for p in C.CONVENTIONS)
+HABITS = f"phrases AS ({PHRASES}), habits AS (SELECT session_id, phrase, count(*) AS n, CASE WHEN count(*) >= 5 THEN 'high' ELSE 'medium' END AS confidence FROM phrases WHERE phrase IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3)"
+
+
+def corrected_sql(severity: str, pattern: str) -> str:
+    opens = f" AND regexp_matches(content, {quoted('(?i)' + L.CORRECTION)})" if severity == "should" else ""
+    return f"SELECT session_id, event_id, trim(regexp_extract(content, {quoted('(?i)' + pattern)}, 0)) AS content, '{severity}' AS severity FROM ev WHERE event_type IN ('turn', 'user_prompt') AND regexp_matches(content, {quoted('(?i)' + pattern)}){opens}"
 
 
-@query("known_fixes", "SELECT 1::BIGINT AS session_id, 2::BIGINT AS error_id, 4::BIGINT AS success_id, 'cannot find module x' AS signature, 'installing the missing package' AS fix")
+CORRECTED = "corrected AS (" + " UNION ALL ".join(corrected_sql(s, p) for s, ps in (("must", L.MUST), ("should", L.SHOULD)) for p in ps) + ")"
+CURATED = f"""{EV}, {FIXED}, {HABITS}, {CORRECTED}, made AS (SELECT session_id, error_id AS event_id, 'Error: ' || signature || ' Fix: ' || fix AS content, 'known_fix' AS object_type, 'high' AS confidence FROM fixes
+ UNION ALL SELECT session_id, event_id, content, 'constraint', CASE WHEN severity = 'must' THEN 'high' ELSE 'medium' END FROM corrected UNION ALL SELECT session_id, NULL, phrase, 'convention', confidence FROM habits),
+ merged AS (SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY substr(lower(content), 1, 100) ORDER BY list_position(['certain', 'high', 'medium', 'low'], confidence), event_id NULLS LAST, content) = 1)"""
+
+
+@query("known_fixes", f"WITH {EV}, {FIXED} SELECT * FROM fixes")
 def known_fixes(spark, d):
-    return C.known_fixes(events(spark))
+    return C.known_fixes(events(spark, d))
 
 
-@query("repeated_phrases", "SELECT 2::BIGINT AS session_id, 'using pytest for tests.' AS phrase, 3::BIGINT AS n, 'medium' AS confidence")
+@query("repeated_phrases", f"WITH {EV}, {HABITS} SELECT * FROM habits")
 def repeated_phrases(spark, d):
-    return C.repeated_patterns(events(spark))
+    return C.repeated_patterns(events(spark, d))
 
 
-@query("curated_candidates")
+@query("curated_candidates", f"WITH {CURATED} SELECT * FROM merged")
 def curated_candidates(spark, d):
-    return C.merged(C.curated(events(spark)))
+    return C.merged(C.curated(events(spark, d)))
+
+
+VOTES = ", ".join(f"{count_sql(ps)} AS v_{n}" for n, ps in L.EXTRACTION.items())
+MOST = f"greatest({', '.join('v_' + n for n in L.EXTRACTION)})"
+WINNER = " ".join(f"WHEN v_{n} = {MOST} THEN '{n}'" for n in L.EXTRACTION)
+VOTED = f"voted AS (SELECT *, {MOST} AS top, CASE {WINNER} END AS object_type FROM (SELECT *, {VOTES} FROM kept) WHERE {MOST} > 0)"
+MARKED = r"regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g')"
+PIECE = r"regexp_replace(piece, '^\s+|\s+$', '', 'g')"
+
+
+def squeezed(code: str) -> str:
+    return rf"substr(trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '(?s)```.*?```', '{code}', 'g')), 1, 500)"
+
 
+BOTH_CUTS = rf"list_concat(string_split({MARKED}, chr(1)), regexp_split_to_array(content, '\n+'))"
+ONE_CUT = rf"string_split(regexp_replace({MARKED}, '\n+', chr(1), 'g'), chr(1))"
 
-@query("session_candidates")
+
+@query(
+    "session_candidates",
+    rf"""WITH {EV}, cut AS (SELECT session_id, sec, event_id, unnest({BOTH_CUTS}) AS piece, generate_subscripts({BOTH_CUTS}, 1) AS i FROM ev WHERE content IS NOT NULL),
+ kept AS (SELECT session_id, sec, event_id, {PIECE} AS text, min(i) AS i FROM cut WHERE length({PIECE}) > 10 GROUP BY 1, 2, 3, 4), {VOTED},
+ said AS (SELECT session_id, sec, event_id, i, object_type, {squeezed('[code block]')} AS content, CASE WHEN top >= 3 THEN 'high' WHEN top = 2 THEN 'medium' ELSE 'low' END AS confidence FROM voted)
+ SELECT session_id, event_id, content, object_type, confidence FROM said QUALIFY row_number() OVER (PARTITION BY session_id, trim(regexp_replace(substr(lower(content), 1, 50), '\s+', ' ', 'g')) ORDER BY sec, event_id, i) = 1""",
+)
 def session_candidates(spark, d):
-    return C.session_candidates(events(spark))
+    return C.session_candidates(events(spark, d))
+
 
+# RE2 has no look-ahead: what must not follow is spelt out
+EXCLUDED_SQL = " OR ".join(f"regexp_matches(text, {quoted(p.replace('#(?!' + chr(92) + 's)', '#([^' + chr(92) + 's]|$)'))})" for p in C.EXCLUDED)
+ACTIONABLE_SQL = " OR ".join(f"regexp_matches(text, {quoted('(?i)' + p)})" for p in C.ACTIONABLE)
 
-@query("realtime_candidates")
+
+@query(
+    "realtime_candidates",
+    rf"""WITH {EV}, cut AS (SELECT session_id, sec, event_id, event_type, unnest({ONE_CUT}) AS piece, generate_subscripts({ONE_CUT}, 1) AS i FROM ev WHERE length(content) >= {C.LEAST_CHARS}),
+ long AS (SELECT session_id, sec, event_id, event_type, i, {PIECE} AS text FROM cut WHERE length({PIECE}) >= {C.LEAST_CHARS}),
+ kept AS (SELECT * FROM long WHERE NOT ({EXCLUDED_SQL} OR len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) > 1)) < {C.LEAST_WORDS}
+  OR (len(regexp_extract_all(text, '[a-zA-Z]')) > 0 AND len(regexp_extract_all(text, '[{{}}()\[\];:=<>]')) / len(regexp_extract_all(text, '[a-zA-Z]')) > 0.3)
+  OR (regexp_matches(text, '^[a-z]+\s+[a-z-]+\s*') AND NOT contains(text, ' because') AND NOT contains(text, ' to '))) AND ({ACTIONABLE_SQL})), {VOTED},
+ sure AS (SELECT session_id, sec, event_id, i, object_type, CASE WHEN top >= 2 THEN 'high' ELSE 'medium' END AS confidence, {squeezed('[code]')} AS content FROM voted WHERE NOT (event_type IN ('tool_output', 'tool_call') AND top < 2)),
+ few AS (SELECT * FROM sure QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY i) <= {C.PER_EVENT})
+ SELECT session_id, event_id, content, object_type, confidence FROM few QUALIFY row_number() OVER (PARTITION BY session_id, lower(content) ORDER BY sec, event_id, i) = 1""",
+)
 def realtime_candidates(spark, d):
-    return C.realtime_candidates(events(spark))
+    return C.realtime_candidates(events(spark, d))
 
 
 @query("applied_candidates")
 def applied_candidates(spark, d):
-    made = C.merged(C.curated(events(spark))).withColumn("candidate_id", F.xxhash64("content"))
+    made = C.merged(C.curated(events(spark, d))).withColumn("candidate_id", F.xxhash64("content"))
     return C.applied(made, V.memories(spark, d))
 
 
