@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, joinable, spread_join, table
+from .common import Scratch, joinable, release, spread_join, table
 from .components import connected
 
 WORDS, SIMILAR = 5, 0.8
@@ -194,6 +194,8 @@ def sign(docs: DataFrame, words: int, bands: int, rows: int, weighted: bool) ->
                     out.append((int(s1), int(s2), len(keys), signed(banded(signature(keys, weights, bands * rows), bands, rows))))
                 cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
                 yield pd.DataFrame({"doc_id": b["doc_id"], "s1": cols[0], "s2": cols[1], "n": cols[2], "bands": cols[3]})
+                del b, out, cols
+                release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInPandas(run, "doc_id long, s1 long, s2 long, n long, bands array<long>")
 
@@ -213,6 +215,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, weighted: bool) -> D
                         h = np.sort(np.where(place > 0, mix(h + place.astype(U) * PRIME), h))
                     out.append(signed(np.unique(h)))
                 yield pd.DataFrame({"rep": b["rep"], "s": out})
+                del b, out
+                release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(joinable(wanted), F.col("doc_id") == F.col("rep")).select("rep", "text")
     return rows.mapInPandas(run, "rep long, s array<long>")
@@ -281,6 +285,7 @@ def compare_groups(members: DataFrame, similar: float) -> DataFrame:
         done()
         if edges:
             yield pd.DataFrame(edges, columns=["u", "v"])
+        release()
 
     return members.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInPandas(run, "u long, v long")
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 
 MAX_TOKENS = 4096
 END_ID = 2
@@ -32,7 +32,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Sequence ids are (partition << SEQUENCE_BITS) + counter.
 SEQUENCE_BITS = 40
 #: Words up to this length are remembered, and at most so many of them.
-CACHE_CHARS, CACHE_WORDS = 64, 450_000
+CACHE_CHARS, CACHE_WORDS = 64, 350_000
 #: Marks that may follow the letters of a word and are a token run of their own.
 TAIL = ".,!?;:$%&*#|)"
 #: White space by which str.split cuts but Unicode's White_Space property does not.
@@ -170,6 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = MAX_TOKENS, end_id: int
                     rows = []
         if rows:
             yield frame(rows, names)
+        release()
 
     def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, release, table
 
 MOST_FIT_ROWS = 200_000
 #: Random features, folds, strength of the ridge (per row), and places of the calibration's grid.
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_FIT_ROWS) -> M
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"fold": b["fold"], "y": b["y"], "f": list(features_of(b["text"]))})
+        release()
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(FOLDS)).cast("int").alias("fold")
     train = scratch.put(rows.select(fold, "y", "text").mapInPandas(measure, "fold int, y double, f array<double>"))
@@ -212,7 +213,9 @@ def scorer(model: Model) -> Callable[[Column], Column]:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(features_of(texts)))
+        out = pd.Series(model.score(features_of(texts)))
+        release()
+        return out
 
     return score
 
