@@ -63,8 +63,8 @@ def words_of(text: Column) -> Column:
 
 
 def plain_words(text: Column, kept: str = r"\w") -> Column:
-    """Distinct words of more than two characters; all but ``kept`` and white space separates."""
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), rf"[^{kept}\s]", " "), r"\s+"), lambda w: F.length(w) > 2))
+    """Distinct words, runs of ``kept`` of more than two characters."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[{kept}]{{3,}}"), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

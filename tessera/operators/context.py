@@ -42,7 +42,7 @@ def relevant(content: Column, project: Column) -> Column:
 
 
 def candidates(parts: dict[str, DataFrame]) -> DataFrame:
-    """One order of all candidates: part, rank, id, content, object_type."""
+    """One order of all candidates: part, rank (anything that can be ordered, of one type), id, content, object_type."""
     frames = [df.select(F.lit(PARTS.index(name)).alias("part"), F.lit(name).alias("part_name"), "rank", "id", "content", "object_type") for name, df in parts.items()]
     out = frames[0]
     for f in frames[1:]:
@@ -50,12 +50,30 @@ def candidates(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Rows of one part and size beyond those that fit, as some may repeat what is in the pack already in another size.
+SPARE = 256
+
+
+def within_budget(rows: DataFrame, total: int) -> DataFrame:
+    """The rows (part, rank, id, tokens, key, words, ...) that a pack of ``total`` tokens can come to, however many there are.
+
+    Of one size at most total / size rows can be taken, and the first come first; rows
+    that repeat the text of an earlier one of their part and size are never taken.  What
+    is left depends on the budget, not on the table.
+    """
+    alike = Window.partitionBy("part", "tokens", F.when(F.col("key") == "", F.col("id").cast("string")).otherwise(F.col("key"))).orderBy("rank", "id")
+    size = Window.partitionBy("part", "tokens").orderBy("rank", "id")
+    first = rows.filter(F.col("wanted") & (F.col("tokens") <= total)).withColumn("nth", F.row_number().over(alike)).filter("nth = 1")
+    few = first.withColumn("nth", F.row_number().over(size)).filter(F.col("nth") <= total + SPARE)  # a constant, which is applied before rows are shuffled
+    return few.filter(F.col("nth") <= F.floor(total / F.greatest("tokens", F.lit(1))) + SPARE).drop("nth")
+
+
 def progressive(found: DataFrame, level: str, project: Sequence[str] = (), budget: int | None = None) -> DataFrame:
     """The pack of a level from candidates: place, part, id, tokens.
 
-    A fold over the candidates in order (a bounded list: the parts are results
-    with limits): each is taken if it is new (by id, by content, for constraints
-    by keywords), relevant, and fits the budgets; what doesn't is passed over.
+    A fold over the candidates in order (see within_budget for their number): each is
+    taken if it is new (by id, by content, for constraints by keywords), relevant, and
+    fits the budgets; what doesn't is passed over.
     """
     config = LEVELS[level]
     total = budget or config["budget"]
@@ -85,7 +103,7 @@ def progressive(found: DataFrame, level: str, project: Sequence[str] = (), budge
         )
         return F.when(x["wanted"] & fresh & fits & bound, taken).otherwise(s)
 
-    folded = rows.agg(F.sort_array(F.collect_list(F.struct("part", "rank", "id", "part_name", "tokens", "key", "words", "limit", "wanted"))).alias("all"))
+    folded = within_budget(rows, total).agg(F.sort_array(F.collect_list(F.struct("part", "rank", "id", "part_name", "tokens", "key", "words", "limit", "wanted"))).alias("all"))
     return folded.select(F.posexplode(F.aggregate("all", start, step, lambda s: s["out"])).alias("place", "r")).select("place", "r.part", "r.id", "r.tokens")
 
 

@@ -9,12 +9,9 @@ texts are read for snippets alone.  Indexes are kept by what they were made from
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import logging
 import re
-import shutil
-import tempfile
 import unicodedata
 import zlib
 from collections.abc import Callable, Sequence
@@ -24,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stem
+from ..sources.store import file_system, shared_folder
 
 LOG = logging.getLogger(__name__)
 K1, B = 1.2, 0.75
@@ -105,25 +103,6 @@ def build(rows: DataFrame, columns: Sequence[str], path: str, key: str = "id") -
 # --- Where indexes are kept ----------------------------------------------------
 
 
-def root(spark: SparkSession) -> str:
-    """tessera.index.dir, else a part of spark.checkpoint.dir; in local mode, where both may be unset, a folder that goes with the process."""
-    named = spark.conf.get("tessera.index.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("tessera.index.dir or spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not hasattr(root, "own"):
-            root.own = tempfile.mkdtemp(prefix="tessera-index-")
-            atexit.register(shutil.rmtree, root.own, ignore_errors=True)
-        named = f"file://{root.own}"
-    return f"{named.rstrip('/')}/lexicon"
-
-
-def file_system(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def stamp(spark: SparkSession, paths: Sequence[str]) -> str:
     """What tells the present state of files and folders apart from others: names, sizes, times."""
     said = []
@@ -137,7 +116,7 @@ def stamp(spark: SparkSession, paths: Sequence[str]) -> str:
 
 def kept(spark: SparkSession, name: str, sources: Sequence[str], rows: Callable[[], DataFrame], columns: Sequence[str], key: str = "id") -> Index:
     """The index of ``rows`` (made from the files ``sources``): an earlier one if nothing changed, else a new one."""
-    path = f"{root(spark)}/{name}-{stamp(spark, [*sources])}-{BUCKETS}"
+    path = f"{shared_folder(spark)}/lexicon/{name}-{stamp(spark, [*sources])}-{BUCKETS}"
     fs, done = file_system(spark, f"{path}/totals/_SUCCESS")
     if not fs.exists(done):
         LOG.info("indexing %s into %s", name, path)

@@ -118,3 +118,28 @@ def analysis_due(buffers: DataFrame, most: int = 20, least: int = 5, seconds_old
     """session_id, due: buffers (session_id, n, age, learning) to be analysed: full, or with enough events and either old or with a learning moment."""
     due = (F.col("n") >= most) | ((F.col("n") >= least) & ((F.col("age") >= seconds_old) | F.col("learning")))
     return buffers.select("session_id", due.alias("due"))
+
+
+# Phrases of a decision, of a correction, of talk about patterns (two of them make a moment).
+DECIDED = ("i decided to", "we should use", "the approach will be", "going with", "choosing", "instead of using", "rather than")
+CORRECTED = ("no, don't", "no, use", "that's wrong", "actually,", "not like that", "instead,", "you should", "never do", "always use")
+PATTERNED = ("pattern", "architecture", "structure", "organize", "convention", "standard", "best practice", "in this project", "we follow")
+
+
+def learning_moments(events: DataFrame) -> DataFrame:
+    """session_id, error_resolution, explicit_decision, user_correction, architecture_pattern of buffered events.
+
+    A success after a failure is told by the first failure and the last success, so no
+    session is put in order; phrases are counted once for a session.
+    """
+    low = F.lower("content")
+    said = lambda phrase: F.max(F.coalesce(F.contains(low, F.lit(phrase)), F.lit(False)).cast("int"))
+    total = lambda phrases: sum((said(p) for p in phrases), F.lit(0))
+    when = F.struct("ts", "event_id")
+    first_failure, last_success = F.min(F.when(F.col("exit_code") != 0, when)), F.max(F.when(F.col("exit_code") == 0, when))
+    return events.groupBy("session_id").agg(
+        F.coalesce(first_failure < last_success, F.lit(False)).alias("error_resolution"),
+        (total(DECIDED) >= 1).alias("explicit_decision"),
+        (total(CORRECTED) >= 1).alias("user_correction"),
+        (total(PATTERNED) >= 2).alias("architecture_pattern"),
+    )

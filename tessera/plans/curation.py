@@ -5,6 +5,7 @@ Sessions are all conversations, and literal rows with the trigger words that the
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import language as L
@@ -13,8 +14,10 @@ from ..operators import curate as C
 from ..operators import evidence as E
 from ..operators import records as R
 from ..operators import search as X
+from ..operators import sessions as S
 from ..sources import views as V
-from .retrieval import searched
+from .records import TOKENS
+from .retrieval import HEAD, hybrid_sql, rerank_sql, searched
 from .sessions import count_sql, quoted
 
 QUERIES, SQL = {}, {}
@@ -30,39 +33,48 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def ranked(df, *order):
-    from pyspark.sql import Window
+def by(df, key):
+    """``df`` in order of a number, the greatest first, then by id: rank."""
+    return df.withColumn("rank", F.struct((-key.cast("double")).alias("k"), F.col("id").alias("i")))
 
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+def pack_parts(spark, d, level):
+    """The candidates of a level, as they are: their number is bounded by the pack (context.within_budget)."""
+    m = V.memories(spark, d).withColumn("updated_at", F.col("created_at"))
+    newest = F.unix_micros(F.col("created_at").cast("timestamp"))
+    parts = {"constraint": by(R.active_constraints(m), newest), "warning": by(R.warnings(m), newest)}
+    if level == "deep":
+        parts["hot"] = by(R.heatmap(m, V.now(), 10), F.col("heat"))
+        parts["query"] = by(X.planned(searched(spark, d, 50), P.S.PLANS["general"], V.now()), F.col("score"))
+        parts["history"] = by(R.history_within(m, 3000), newest)
+    return P.candidates(parts)
 
 
 @query("pack_progressive")
 def pack_progressive(spark, d):
     """The deep pack: constraints, warnings, hot, found, and past memories under one budget."""
-    m = V.memories(spark, d).withColumn("updated_at", F.col("created_at"))
-    newest = (F.desc("created_at"), F.col("id"))
-    parts = {
-        "constraint": ranked(R.active_constraints(m), *newest),
-        "warning": ranked(R.warnings(m), *newest),
-        "hot": ranked(R.heatmap(m, V.now(), 10), F.desc("heat"), F.col("id")),
-        "query": ranked(X.planned(searched(spark, d, 50), P.S.PLANS["general"], V.now()), F.desc("score"), F.col("id")),
-        "history": ranked(R.history_within(m, 3000), *newest),
-    }
-    return P.progressive(P.candidates(parts), "deep", budget=6000)
+    return P.progressive(pack_parts(spark, d, "deep"), "deep", budget=6000)
 
 
 @query("pack_minimal")
 def pack_minimal(spark, d):
-    m = V.memories(spark, d).withColumn("updated_at", F.col("created_at"))
-    newest = (F.desc("created_at"), F.col("id"))
-    return P.progressive(P.candidates({"constraint": ranked(R.active_constraints(m), *newest), "warning": ranked(R.warnings(m), *newest)}), "minimal", budget=1500)
+    return P.progressive(pack_parts(spark, d, "minimal"), "minimal", budget=1500)
+
+
+PACKED = f"""{HEAD}{hybrid_sql(50)}, {rerank_sql("general").replace(" SELECT id, round(", " , rr AS (SELECT id, round(", 1)}),
+ limits AS (SELECT id, {TOKENS} + 20 AS tokens FROM memories WHERE status = 'active' AND object_type = 'constraint'),
+ rq AS (SELECT m.id, {TOKENS} + 20 AS tokens, row_number() OVER (ORDER BY rr.score DESC, m.id) AS rank FROM rr JOIN memories m ON m.id = rr.id WHERE object_type <> 'constraint'),
+ f AS (SELECT CAST(0 AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS tokens, false AS included, CAST(60000 - (SELECT coalesce(sum(tokens), 0) FROM limits) AS BIGINT) AS remaining UNION ALL
+  SELECT rq.rank, rq.id, CAST(rq.tokens AS BIGINT), rq.tokens <= f.remaining, CASE WHEN rq.tokens <= f.remaining THEN f.remaining - CAST(rq.tokens AS BIGINT) ELSE f.remaining END FROM f JOIN rq ON rq.rank = f.rank + 1)
+ SELECT 'constraint' AS part, id, CAST(tokens AS BIGINT) AS tokens FROM limits UNION ALL SELECT 'relevant', id, tokens FROM f WHERE included"""
 
 
-@query("pack_with_constraints")
+@query("pack_with_constraints", PACKED.replace("WITH ", "WITH RECURSIVE ", 1))
 def pack_with_constraints(spark, d):
     m = V.memories(spark, d)
-    hits = ranked(X.reranked(searched(spark, d, 50), V.now()), F.desc("score"), F.col("id"))
-    return X.context_pack(m, hits, 60_000)
+    hits = X.reranked(searched(spark, d, 50), V.now()).withColumn("score", F.round("score", 6))
+    order = Window.orderBy(F.desc("score"), "id")  # at most 50 results
+    return X.context_pack(m, hits.withColumn("rank", F.row_number().over(order)), 60_000)
 
 
 @query(
@@ -213,10 +225,25 @@ def realtime_candidates(spark, d):
 
 @query("applied_candidates")
 def applied_candidates(spark, d):
-    made = C.merged(C.curated(events(spark, d))).withColumn("candidate_id", F.xxhash64("content"))
+    """Candidates of all sessions, one after the other, into the memories."""
+    made = C.session_candidates(events(spark, d)).withColumn("candidate_id", F.xxhash64("session_id", "event_id", "content"))
     return C.applied(made, V.memories(spark, d))
 
 
+MOMENTS = {"explicit_decision": S.DECIDED, "user_correction": S.CORRECTED, "architecture_pattern": S.PATTERNED}
+SAID = ", ".join(f"CAST(max(CAST(contains(lower(content), {quoted(p)}) AS INTEGER)) AS INTEGER) AS {name}_{i}" for name, ps in MOMENTS.items() for i, p in enumerate(ps))
+SUMS = ", ".join(f"({' + '.join(f'{name}_{i}' for i in range(len(ps)))}) >= {2 if name == 'architecture_pattern' else 1} AS {name}" for name, ps in MOMENTS.items())
+
+
+@query(
+    "learning_moments",
+    f"""WITH {EV}, said AS (SELECT session_id, {SAID} FROM ev GROUP BY 1), codes AS (SELECT session_id, exit_code, max(CASE WHEN exit_code <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY sec, event_id) AS failed FROM ev),
+ won AS (SELECT session_id, coalesce(bool_or(exit_code = 0 AND failed = 1), false) AS error_resolution FROM codes GROUP BY 1) SELECT session_id, error_resolution, {SUMS} FROM said JOIN won USING (session_id)""",
+)
+def learning_moments(spark, d):
+    return S.learning_moments(events(spark, d))
+
+
 @query("facts")
 def facts(spark, d):
     rows = [(1, "Caroline", "I went to the museum yesterday. My field is counseling. I really love painting.", "2023-05-09"), (2, "Mel", "Tom got a dog last week! We plan to travel to Rome.", "2023-06-01")]

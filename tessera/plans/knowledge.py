@@ -35,7 +35,22 @@ CLAIMS = (
 CLAIMS_SQL = "claims(id, object_type, day, content) AS (VALUES " + ", ".join(f"({i}, '{t}', {d}, '{c}')" for i, t, d, c in CLAIMS) + ")"
 
 
-def claims(spark):
+#: Days of documents as memories.
+DOC_DAYS = 30
+
+
+def claims(spark, d):
+    """Literal claims with ids below 0, and every document."""
+    own = literal_claims(spark)
+    i = F.col("doc_id")
+    docs = V.read(spark, d, "documents").select(
+        i.alias("id"), V.nth(V.OBJECT_TYPES, i % 7).alias("object_type"), F.col("text").alias("content"), F.lit("active").alias("status"), F.lit("observed").alias("tier"),
+        F.make_timestamp_ntz(F.lit(2024), F.lit(1), (i % DOC_DAYS + 1).cast("int"), F.lit(0), F.lit(0), F.lit(0)).alias("created_at"), F.lit(None).cast("long").alias("superseded_by"),
+    )
+    return own.withColumn("id", -F.col("id")).unionByName(docs)
+
+
+def literal_claims(spark):
     rows = spark.createDataFrame(list(CLAIMS), "id long, object_type string, day int, content string")
     return rows.select("id", "object_type", "content", F.lit("active").alias("status"), F.lit("observed").alias("tier"), F.expr("make_timestamp_ntz(2024, 1, day, 0, 0, 0)").alias("created_at"), F.lit(None).cast("long").alias("superseded_by"))
 
@@ -45,25 +60,25 @@ def listed(values) -> str:
 
 
 def contradiction_sql() -> str:
-    over = lambda a, b: f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE END)"
-    opposite = " ".join(
-        f"WHEN ((list_contains(aw, '{x}') AND list_contains(bw, '{y}')) OR (list_contains(aw, '{y}') AND list_contains(bw, '{x}'))) AND {over(f'list_filter(aw, lambda w: w NOT IN ({chr(39)}{x}{chr(39)}, {chr(39)}{y}{chr(39)}))', f'list_filter(bw, lambda w: w NOT IN ({chr(39)}{x}{chr(39)}, {chr(39)}{y}{chr(39)}))')} > 0.3 THEN 'direct'"
-        for x, y in C.ANTONYMS
-    )
-    chosen = lambda side, g: f"list_filter({listed(g)}, lambda c: contains({side}l, c))"
-    implicit = " OR ".join(f"(len({chosen('a', g)}) > 0 AND len({chosen('b', g)}) > 0 AND {chosen('a', g)} <> {chosen('b', g)})" for g in C.CHOICES)
-    recommends = f"regexp_matches(al, '{C.RECOMMENDS}') AND regexp_matches(bl, '{C.RECOMMENDS}')"
-    negated = lambda side: f"len(list_filter({listed(C.NEGATIONS)}, lambda n: contains({side}l, n))) > 0"
-    timed = listed(C.TIMED)
-    return f"""WITH {CLAIMS_SQL}, w AS (SELECT *, lower(content) AS l, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2)) AS ws FROM claims),
- p AS (SELECT a.id AS a, b.id AS b, a.l AS al, b.l AS bl, a.ws AS aw, b.ws AS bw, a.object_type AS a_type, b.object_type AS b_type, abs(a.day - b.day) AS days FROM w a JOIN w b ON a.id < b.id),
- k AS (SELECT a, b, CASE WHEN ({negated('a')}) <> ({negated('b')}) AND {over('aw', 'bw')} > 0.4 THEN 'direct' {opposite} WHEN ({implicit}) AND {recommends} THEN 'implicit'
- WHEN list_contains({timed}, a_type) AND list_contains({timed}, b_type) AND {over('aw', 'bw')} >= 0.5 AND days >= 1 THEN 'temporal' END AS kind FROM p) SELECT * FROM k WHERE kind IS NOT NULL"""
+    flags = ", ".join(f"list_filter({listed(g)}, lambda c: contains(l, c)) AS c{i}" for i, g in enumerate(C.CHOICES))
+    implicit = " OR ".join(f"(len(x.c{i}) > 0 AND len(y.c{i}) > 0 AND x.c{i} <> y.c{i})" for i in range(len(C.CHOICES)))
+    antonyms = ", ".join(f"({i}, '{x}', '{y}')" for i, (x, y) in enumerate(C.ANTONYMS))
+    return f"""WITH {CLAIMS_SQL}, m AS (SELECT -id AS id, object_type, day, content FROM claims UNION ALL SELECT doc_id, (['decision','preference','convention','known_fix','constraint','failed_attempt','environment'])[doc_id % 7 + 1], doc_id % {DOC_DAYS} + 1, text FROM documents),
+ w0 AS (SELECT *, lower(content) AS l, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2)) AS ws FROM m),
+ w AS (SELECT id, object_type IN ('decision', 'convention', 'preference') AS timed, day, ws, len(ws) AS n, len(list_filter({listed(C.NEGATIONS)}, lambda n: contains(l, n))) > 0 AS neg, regexp_matches(l, '{C.RECOMMENDS}') AS rec, {flags} FROM w0),
+ u AS (SELECT id, n, unnest(ws) AS word FROM w), p AS (SELECT x.id AS a, y.id AS b, count(*) / (any_value(x.n + y.n) - count(*))::DOUBLE AS alike FROM u x JOIN u y ON x.word = y.word AND x.id < y.id GROUP BY 1, 2),
+ direct AS (SELECT a, b FROM p JOIN w x ON x.id = a JOIN w y ON y.id = b WHERE x.neg <> y.neg AND alike > 0.4),
+ an(i, one, two) AS (VALUES {antonyms}), sides AS (SELECT id, i, one, two, list_contains(ws, one) AS h1, list_contains(ws, two) AS h2, list_filter(ws, lambda z: z <> one AND z <> two) AS rest FROM w, an WHERE list_contains(ws, one) OR list_contains(ws, two)),
+ opposite AS (SELECT DISTINCT x.id AS a, y.id AS b FROM sides x JOIN sides y ON x.i = y.i AND x.id < y.id WHERE ((x.h1 AND y.h2) OR (x.h2 AND y.h1)) AND len(x.rest) > 0 AND len(y.rest) > 0 AND len(list_intersect(x.rest, y.rest)) / len(list_distinct(list_concat(x.rest, y.rest)))::DOUBLE > 0.3),
+ implicit AS (SELECT x.id AS a, y.id AS b FROM w x JOIN w y ON x.id < y.id AND x.rec AND y.rec WHERE {implicit}),
+ temporal AS (SELECT a, b FROM p JOIN w x ON x.id = a JOIN w y ON y.id = b WHERE x.timed AND y.timed AND alike >= 0.5 AND abs(x.day - y.day) >= 1),
+ k AS (SELECT a, b, 0 AS o FROM direct UNION ALL SELECT a, b, 0 FROM opposite UNION ALL SELECT a, b, 1 FROM implicit UNION ALL SELECT a, b, 2 FROM temporal)
+ SELECT a, b, (['direct', 'implicit', 'temporal'])[min(o) + 1] AS kind FROM k GROUP BY 1, 2"""
 
 
 @query("contradictions", contradiction_sql())
 def contradictions(spark, d):
-    return C.contradictions(claims(spark)).select("a", "b", "kind")
+    return C.contradictions(claims(spark, d)).select("a", "b", "kind")
 
 
 def oppose_sql(a: str, b: str) -> str:
@@ -85,7 +100,7 @@ BAG = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}
  SELECT candidate_id, existing_id, kind, CASE WHEN kind = 'supersession' THEN 'medium' ELSE 'high' END AS severity FROM f UNION ALL SELECT candidate_id, NULL, 'ambiguity', 'medium' FROM u""",
 )
 def conflict_kinds(spark, d):
-    known = claims(spark)
+    known = literal_claims(spark)
     new = known.filter("id > 6").select(F.col("id").alias("candidate_id"), F.col("content").alias("candidate"), F.col("object_type").alias("candidate_type"))
     old = known.select(F.col("id").alias("existing_id"), F.col("content").alias("existing"), F.col("object_type").alias("existing_type"))
     related = new.join(F.broadcast(old), F.col("existing_id") < F.col("candidate_id"))
@@ -94,9 +109,12 @@ def conflict_kinds(spark, d):
 
 @query(
     "similar_memories",
-    f"WITH {M}, w AS (SELECT id, {BAG.format('content')} AS ws FROM memories), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.ws, b.ws)) AS c, len(a.ws) + len(b.ws) AS s FROM w a JOIN w b ON a.id < b.id WHERE len(a.ws) > 0 AND len(b.ws) BETWEEN len(a.ws) * 0.79 AND len(a.ws) / 0.79) SELECT a, b, round(c / (s - c)::DOUBLE, 6) AS similarity FROM p WHERE c / (s - c)::DOUBLE >= 0.8",
+    f"""WITH {M}, b AS (SELECT id, {BAG.format('content')} AS ws FROM memories), w AS (SELECT *, max(id) OVER (PARTITION BY list_sort(ws)) AS rep FROM b WHERE len(ws) > 0), u AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM w WHERE id = rep),
+ p AS (SELECT x.id AS a, y.id AS b, count(*) AS c, any_value(x.n + y.n) AS s FROM u x JOIN u y ON x.word = y.word AND x.id < y.id AND y.n BETWEEN x.n * 0.79 AND x.n / 0.79 GROUP BY 1, 2)
+ SELECT a, b, round(c / (s - c)::DOUBLE, 6) AS similarity FROM p WHERE c / (s - c)::DOUBLE >= 0.8 UNION ALL SELECT id, rep, 1.0 FROM w WHERE id <> rep""",
 )
 def similar_memories(spark, d):
+    """Pairs of memories that are alike; of equal word sets the newest stands for all, with the others as its pairs."""
     return C.similar_pairs(V.memories(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 

@@ -54,10 +54,10 @@ def stems(vocabulary: str = "vocab") -> str:
     return ", ".join(ctes) + f", stems AS (SELECT w, lower(x) AS s FROM p{len(STEPS)} UNION ALL SELECT w, w FROM {vocabulary} WHERE length(w) NOT BETWEEN 3 AND 64)"
 
 
-def bm25(rows: str, columns: tuple[str, ...], terms: list[str]) -> str:
-    """CTEs up to hits(id, bm25) of a relation's rows that hold any of the (stemmed) terms."""
+def bm25(rows: str, columns: tuple[str, ...], terms: list[str] | str) -> str:
+    """CTEs up to hits(id, bm25) of a relation's rows that hold any of the (stemmed) terms (or of those that a subquery over said and stems gives)."""
     word_list = "list_concat(" + ", ".join(f"regexp_split_to_array(lower(strip_accents(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+')" for c in columns) + ")" if len(columns) > 1 else f"regexp_split_to_array(lower(strip_accents(coalesce({columns[0]}, ''))), '[^\\p{{L}}\\p{{N}}]+')"
-    wanted = ", ".join(f"'{t}'" for t in terms)
+    wanted = terms if isinstance(terms, str) else ", ".join(f"'{t}'" for t in terms)
     return f"""bag AS (SELECT id, list_filter({word_list}, lambda w: length(w) > 0) AS ws FROM {rows}), said AS (SELECT id, unnest(ws) AS w FROM bag), vocab AS (SELECT DISTINCT w FROM said), {stems()},
 tfs AS (SELECT id, s AS term, count(*) AS tf FROM said JOIN stems USING (w) WHERE s IN ({wanted}) GROUP BY 1, 2), dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY 1), tot AS (SELECT count(*) AS n, avg(len(ws)) AS avg_dl FROM bag),
 hits AS (SELECT id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN {L.LEAST_IDF} ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * {L.K1 + 1} / (tf + {L.K1} * ({1 - L.B} + {L.B} * len(ws) / avg_dl))), 10) AS bm25 FROM tfs JOIN dfs USING (term) JOIN bag USING (id), tot GROUP BY id)"""

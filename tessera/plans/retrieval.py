@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import text
 from ..operators import lexicon as L
 from ..operators import records as R
 from ..operators import search as X
@@ -69,6 +70,21 @@ def event_search(spark, d):
     return events.select("id", "session_id", "role").join(F.broadcast(top), "id").select("id", "session_id", "role", F.round("bm25", 6).alias("bm25"))
 
 
+LIKE = 5
+OWN_WORDS = f"SELECT DISTINCT s FROM said JOIN stems USING (w) WHERE id = {LIKE} AND w IN (SELECT strip_accents(lower(unnest(list_filter(string_split(trim(regexp_replace(regexp_replace(content, '{chr(91)}^\\p{{L}}\\p{{N}}_{chr(93)}', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: length(x) >= 2 AND lower(x) NOT IN ({', '.join(repr(w) for w in text.STOP_WORDS)}) AND upper(x) NOT IN ('AND', 'OR', 'NOT', 'NEAR'))))) FROM memories WHERE id = {LIKE})"
+
+
+@query(
+    "find_similar",
+    f"""WITH {M}, {Q.bm25("memories", ("content", "scope_path"), OWN_WORDS)}, lx AS (SELECT id, 0 AS part, -bm25 AS key FROM (SELECT id, bm25 FROM hits JOIN memories USING (id) WHERE status = 'active' ORDER BY bm25 DESC, id LIMIT 10) WHERE bm25 > 0.5 AND id <> {LIKE}),
+ v AS (SELECT vec_id AS id, 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = {LIKE})::DOUBLE[]) AS distance FROM embeddings),
+ nx AS (SELECT id, 1 AS part, distance AS key FROM (SELECT * FROM v ORDER BY distance, id LIMIT 10) WHERE 1 - distance > 0.85 AND id <> {LIKE} AND id IN (SELECT id FROM memories WHERE status = 'active')),
+ b AS (SELECT id, min((part, key)) AS o FROM (SELECT * FROM lx UNION ALL SELECT * FROM nx) GROUP BY 1) SELECT id, CAST(row_number() OVER (ORDER BY o, id) AS INTEGER) AS place FROM b ORDER BY o, id LIMIT 5""",
+)
+def find_similar(spark, d):
+    return X.find_similar(V.memories(spark, d), V.memory_index(spark, d), V.read(spark, d, "embeddings"), LIKE)
+
+
 @query("vector_topk", f"SELECT vec_id, round(1 - {COS}, 6) AS distance FROM embeddings ORDER BY 1 - {COS}, vec_id LIMIT 50")
 def vector_topk(spark, d):
     v = V.read(spark, d, "embeddings")
@@ -162,21 +178,19 @@ def merge_rollup(spark, d):
 
 
 def judged(spark, d):
-    """Queries are the first ten vectors, each ranks its 20 nearest; those of its label are relevant, the nearer the better graded."""
+    """Queries are the vectors whose id is divisible by 20, each ranks its 20 nearest; those of its label are relevant, graded by id."""
     v = V.read(spark, d, "embeddings")
-    asked = v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    near = v.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
-    from ..functions import score
-
-    ranked = near.withColumn("distance", F.round(1 - score.cosine(F.col("embedding"), F.col("q")), 9))
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    ranked = ranked.withColumn("rank", F.row_number().over(order))
-    relevant = ranked.filter("label = q_label and vec_id % 5 < 3").select("query_id", F.col("vec_id").alias("item_id"), (1 + F.col("vec_id") % 3).cast("int").alias("grade"))
-    return ranked.filter("rank <= 20").select("query_id", F.col("vec_id").alias("item_id"), "rank"), relevant
+    asked = v.filter("vec_id % 20 = 0")
+    ranked = X.nearest_in_blocks(v, asked, 20)
+    # grades of all rows of a label are summed per label and grade in ir_metrics' ideal: only as many as count are kept
+    label = v.select(F.col("vec_id").alias("item_id"), "label", (1 + F.col("vec_id") % 3).cast("int").alias("grade"))
+    own = asked.select(F.col("vec_id").alias("query_id"), "label")
+    return ranked.select("query_id", F.col("vec_id").alias("item_id"), "rank"), own, label
 
 
-JUDGED = """nr AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, a.label AS q_label, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 9), b.vec_id) AS rank
- FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10), rl AS (SELECT query_id, item_id, 1 + item_id % 3 AS grade FROM nr WHERE label = q_label AND item_id % 5 < 3),
+JUDGED = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS q_label FROM embeddings WHERE vec_id % 20 = 0),
+ nr AS (SELECT query_id, vec_id AS item_id, q_label, label, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 9), vec_id) AS rank FROM embeddings JOIN q ON vec_id <> query_id),
+ rl AS (SELECT query_id, vec_id AS item_id, 1 + vec_id % 3 AS grade FROM embeddings JOIN q ON label = q_label AND vec_id <> query_id),
  j AS (SELECT nr.*, grade FROM nr LEFT JOIN rl USING (query_id, item_id) WHERE rank <= 20),
  idl AS (SELECT query_id, count(*) AS wanted, sum(CASE WHEN r <= 10 THEN (pow(2, grade) - 1) / log2(r + 1) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, item_id) AS r FROM rl) GROUP BY 1)"""
 PR = ", ".join(f"round(count(*) FILTER (grade IS NOT NULL AND rank <= {k}) / least({k}, count(*) FILTER (rank <= 10)), 6) AS p_{k}, round(count(*) FILTER (grade IS NOT NULL AND rank <= {k}) / any_value(wanted), 6) AS r_{k}" for k in (1, 3, 5, 10))
@@ -184,7 +198,7 @@ PR = ", ".join(f"round(count(*) FILTER (grade IS NOT NULL AND rank <= {k}) / lea
 
 @query("ir_metrics", f"WITH {JUDGED} SELECT query_id, {PR}, round(coalesce(max(CASE WHEN grade IS NOT NULL THEN 1.0::DOUBLE / rank END), 0), 6) AS mrr, round(sum(CASE WHEN rank <= 10 THEN (pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1) ELSE 0 END) / any_value(idcg), 6) AS ndcg FROM j JOIN idl USING (query_id) GROUP BY 1")
 def ir_metrics(spark, d):
-    m = X.ir_metrics(*judged(spark, d))
+    m = X.ir_metrics_by_label(*judged(spark, d))
     return m.select("query_id", *(F.round(c, 6).alias(c) for c in m.columns if c != "query_id"))
 
 

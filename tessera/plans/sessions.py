@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as L
 from ..functions import text
+from ..operators import alike
 from ..operators import search as X
 from ..operators import sessions as Z
 from ..sources import views as V
@@ -102,13 +103,9 @@ def context_usage(spark, d):
 @query("jaccard_pairs", r"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\w\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 2)) AS ws FROM benchmark),
  p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.ws, b.ws)) AS c, len(a.ws) + len(b.ws) AS s FROM w a JOIN w b ON a.item_id < b.item_id) SELECT a, b, round(c / (s - c)::DOUBLE, 6) AS similarity FROM p WHERE c / (s - c)::DOUBLE >= 0.1""")
 def jaccard_pairs(spark, d):
-    """Pairs that share a word are formed from the word index; the rest have similarity 0."""
-    words = V.read(spark, d, "benchmark").select("item_id", text.plain_words(F.col("text")).alias("ws"))
-    index = words.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    left, right = index.select(F.col("item_id").alias("a"), F.col("n").alias("na"), "w"), index.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "w")
-    shared = left.join(right, "w").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    similarity = F.col("c") / (F.col("na") + F.col("nb") - F.col("c")).cast("double")
-    return shared.withColumn("similarity", similarity).filter("similarity >= 0.1").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    words = V.read(spark, d, "benchmark").select(F.col("item_id").alias("id"), text.plain_words(F.col("text")).alias("w"))
+    sets = alike.ordered(words)
+    return alike.scored(alike.sharing(sets, sets, 0.1, same=True), sets, sets, 0.1).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 # --- statements: all documents, and literal rows with the trigger words that their prose may lack ---

@@ -17,6 +17,8 @@ from .. import schema as S
 from ..functions import text
 
 WATERMARK = "10 minutes"
+#: Folders that the log of curated events is cut into by session.
+LOG_BUCKETS = 64
 
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType = S.EVENT, files_per_trigger: int = 50) -> DataFrame:
@@ -50,14 +52,17 @@ class Checkpoints(StatefulProcessor):
     """A checkpoint at every n-th event of a session; sooner on a burst of tool outputs or a word of completion, from ``least`` events on.
 
     State of a session: its counters and the times of its last tool outputs (at
-    most ``burst`` of them), so it stays small however long the session is.
+    most ``burst`` of them), so it stays small however long the session is; with ``ttl``
+    (milliseconds) it goes when nothing came for so long, for streams that never end.
     """
 
+    ttl: int | None = None
+
     every, least, burst, seconds, triggers = 10, 5, 10, 120, False
     done = r"(?i)tests?\s+(?:are\s+)?(?:passing|passed|pass)|\b(?:done|finished|complete|ready)\b|successfully\s+(?:built|compiled|deployed)"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("progress", "since int, total int, tools array<double>")
+        self.state = handle.getValueState("progress", "since int, total int, tools array<double>", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
@@ -85,11 +90,11 @@ class Checkpoints(StatefulProcessor):
         pass
 
 
-def checkpoints(events: DataFrame, triggers: bool = False) -> DataFrame:
+def checkpoints(events: DataFrame, triggers: bool = False, ttl: int | None = None) -> DataFrame:
     """session_id, checkpoint, event_id, trigger as they come due; needs the RocksDB state store."""
     processor = Checkpoints()
-    processor.triggers = triggers
-    return events.groupBy("session_id").transformWithStateInPandas(processor, CHECKPOINT, outputMode="Append", timeMode="None")
+    processor.triggers, processor.ttl = triggers, ttl
+    return events.groupBy("session_id").transformWithStateInPandas(processor, CHECKPOINT, outputMode="Append", timeMode="ProcessingTime" if ttl else "None")
 
 
 DISCLOSURE = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("trigger", T.StringType()), T.StructField("confidence", T.DoubleType())])
@@ -98,13 +103,15 @@ DISCLOSURE = T.StructType([T.StructField("session_id", T.LongType()), T.StructFi
 class Disclosures(StatefulProcessor):
     """When a session needs context: an error burst (counted since the last disclosure), else a change of topic.
 
-    State of a session: its error count and last topic.
+    State of a session: its error count and last topic (``ttl``: see Checkpoints).
     """
 
+    ttl: int | None = None
+
     burst = 3
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("disclosure", "errors int, topic string")
+        self.state = handle.getValueState("disclosure", "errors int, topic string", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
@@ -127,16 +134,43 @@ class Disclosures(StatefulProcessor):
         pass
 
 
-def disclosures(events: DataFrame) -> DataFrame:
+def disclosures(events: DataFrame, ttl: int | None = None) -> DataFrame:
     """session_id, event_id, trigger, confidence of a stream of events (session_id, event_id, ts, event_type, topic)."""
-    return events.groupBy("session_id").transformWithStateInPandas(Disclosures(), DISCLOSURE, outputMode="Append", timeMode="None")
+    processor = Disclosures()
+    processor.ttl = ttl
+    return events.groupBy("session_id").transformWithStateInPandas(processor, DISCLOSURE, outputMode="Append", timeMode="ProcessingTime" if ttl else "None")
 
 
 def curate_batches(events: DataFrame, path: str, checkpoint: str):
-    """Runs the batch curation on each micro-batch and appends its candidates; replayed batches overwrite themselves."""
+    """Curates a stream: what a session told in earlier micro-batches counts with what it tells in this one.
+
+    Each micro-batch's events go to a log, cut by session; the sessions that it touches
+    are curated as a whole, from the log's folders that hold them.  Replayed batches
+    overwrite themselves.  ``curated_so_far`` reads the result.
+    """
     from ..operators import curate
 
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(LOG_BUCKETS)).cast("int")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        curate.merged(curate.curated(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        rows = batch.withColumn("bucket", bucket)
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/log/batch={batch_id}")
+        own = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log/batch={batch_id}")
+        touched = own.select("session_id").distinct()
+        buckets = [r[0] for r in own.select("bucket").distinct().collect()]  # at most LOG_BUCKETS
+        log = spark.read.schema(own.schema).parquet(f"{path}/log").filter((F.col("batch") <= batch_id) & F.col("bucket").isin(buckets))
+        whole = log.join(touched, "session_id", "left_semi").drop("batch", "bucket")
+        found = curate.curated(whole)
+        found.write.mode("overwrite").parquet(f"{path}/candidates/batch={batch_id}")
+        touched.write.mode("overwrite").parquet(f"{path}/touched/batch={batch_id}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def curated_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """The candidates of all sessions, each as of the last micro-batch that touched it, merged."""
+    from ..operators import curate
+
+    last = spark.read.parquet(f"{path}/touched").groupBy("session_id").agg(F.max("batch").alias("batch"))
+    return curate.merged(spark.read.parquet(f"{path}/candidates").join(last, ["session_id", "batch"], "left_semi").drop("batch"))

@@ -57,8 +57,23 @@ def test_disclosures(spark, tmp_path):
     assert [(r.event_id, r.trigger, r.confidence) for r in sorted(got)] == [(4, "error_burst", 0.6), (6, "topic_shift", 0.7)]
 
 
-def test_curated_batches(spark, event_files, tmp_path):
-    stream = ingest.read_events(spark, event_files).withColumn("content", F.lit("Never use any casts in this code base."))
-    query = ingest.curate_batches(stream, f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start()
+def test_curated_batches(spark, tmp_path):
+    """Told over several micro-batches: an error, later its fix and success; a phrase that repeats."""
+    from tessera.operators import curate
+
+    rows = [
+        (1, 1, 0, "tool_output", "Error: cannot find module x\n", "bash", 1), (2, 2, 1, "turn", "We are using pytest for tests.", None, None),
+        (1, 3, 20, "turn", "Fixed by installing the missing package.", None, None), (2, 4, 21, "turn", "We are using pytest for tests.", None, None),
+        (1, 5, 60, "tool_output", "ok", "bash", 0), (2, 6, 61, "turn", "We are using pytest for tests.", None, None), (3, 7, 70, "user_prompt", "Never use any casts in this code base.", None, None),
+    ]
+    schema = "session_id long, event_id long, at long, event_type string, content string, tool_name string, exit_code int"
+    events = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("at")).drop("at").coalesce(1)
+    for i, part in enumerate(("event_id <= 2", "event_id in (3, 4)", "event_id > 4")):
+        events.filter(part).write.parquet(f"{tmp_path}/e/part{i}")
+    files = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/e")
+    query = ingest.curate_batches(files, f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination(300)
-    assert [r.object_type for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["constraint"]
+    found = ingest.curated_so_far(spark, f"{tmp_path}/out")
+    key = lambda df: sorted((r.session_id, r.object_type, r.content, r.confidence) for r in df.collect())
+    assert key(found) == key(curate.merged(curate.curated(events)))
+    assert {r[1] for r in key(found)} == {"known_fix", "convention", "constraint"}
