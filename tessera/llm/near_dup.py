@@ -120,27 +120,27 @@ def arrivals(cells: np.ndarray, rate: float, bound: float) -> tuple[np.ndarray,
     step = U(0xD1B54A32D192ED03)
     gap = lambda h: -np.log(((h >> U(11)).astype(np.float64) + 1.0) * 2.0**-53) / rate
     expected = rate * bound
-    if expected > 2:  # all at once
-        m = int(expected + 9 * math.sqrt(expected) + 20)
-        while True:
-            h = mix(cells[:, None] + np.arange(1, m + 1, dtype=U)[None, :] * step)
-            ranks = np.cumsum(gap(h), axis=1)
-            if (ranks[:, -1] >= bound).all():
-                at, i = np.nonzero(ranks < bound)
-                return at, ranks[at, i], h[at, i]
-            m *= 2
-    places, ranks, hashes = [], [], []
-    at, rank, i = np.arange(len(cells)), np.zeros(len(cells)), 1
+    # as many as nearly all cells need at once, the others go on one by one
+    m = int(expected + 4.5 * math.sqrt(expected)) + 1
+    h = mix(cells[:, None] + np.arange(1, m + 1, dtype=U)[None, :] * step)
+    ranks = np.cumsum(gap(h), axis=1)
+    early = ranks < bound
+    at = np.nonzero(early)[0]
+    if not early[:, -1].any():
+        return at, ranks[early], h[early]
+    places, found, hashes = [at], [ranks[early]], [h[early]]
+    at = np.flatnonzero(early[:, -1])
+    rank, i = ranks[at, -1], m + 1
     while len(at):
         h = mix(cells[at] + U(i) * step)
         rank = rank + gap(h)
         on = rank < bound
         at, rank, h = at[on], rank[on], h[on]
         places.append(at)
-        ranks.append(rank)
+        found.append(rank)
         hashes.append(h)
         i += 1
-    return (np.concatenate(x) for x in (places, ranks, hashes)) if places else (np.empty(0, int), np.empty(0), np.empty(0, U))
+    return np.concatenate(places), np.concatenate(found), np.concatenate(hashes)
 
 
 def signature(keys: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
@@ -157,11 +157,11 @@ def signature(keys: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
             all_hashes.append(hashes[hit])
         ranks, hashes = np.concatenate(all_ranks), np.concatenate(all_hashes)
         coordinate = (mix(hashes ^ U(0x2545F4914F6CDD1D)) % U(k)).astype(np.int64)
-        last = np.argsort(-ranks, kind="stable")
-        out, filled = np.zeros(k, U), np.zeros(k, bool)
-        out[coordinate[last]] = hashes[last]
-        filled[coordinate] = True
-        if filled.all():
+        first = np.full(k, np.inf)
+        np.minimum.at(first, coordinate, ranks)
+        if np.isfinite(first).all():
+            out, wins = np.zeros(k, U), ranks == first[coordinate]
+            out[coordinate[wins]] = hashes[wins]
             return out
         bound *= 2
 
