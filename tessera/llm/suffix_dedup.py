@@ -256,13 +256,14 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Every window of every text, grouped by its bytes.
 _SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, u, octet_length(b)::BIGINT AS n, hex(b) AS x FROM (SELECT doc_id, row_number() OVER () AS u, encode(coalesce(text, '')) AS b FROM documents)),
-w AS (SELECT u, p, array_slice(x, 2 * p + 1, 2 * p + {2 * LENGTH}) AS s FROM d, range(0, greatest(n - {LENGTH - 1}, 0)) AS r(p)),
-often AS MATERIALIZED (SELECT md5_number(s) AS m FROM w GROUP BY m HAVING count(*) > 1),
-again AS (SELECT u, p FROM w WHERE md5_number(s) IN (SELECT m FROM often)),
+c AS MATERIALIZED (SELECT u, n, k, substr(x, 2 * k + 1, {2 * (128 + LENGTH)}) AS y FROM d, range(0, greatest(n - {LENGTH - 1}, 0), 128) AS r(k)),
+w AS MATERIALIZED (SELECT u, k + j AS p, md5_number(substr(y, 2 * j + 1, {2 * LENGTH})) AS m FROM c, range(0, 128) AS r(j) WHERE k + j <= n - {LENGTH}),
+often AS MATERIALIZED (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+again AS (SELECT u, p FROM w WHERE m IN (SELECT m FROM often)),
 runs AS MATERIALIZED (SELECT u, min(p) AS a, max(p) + {LENGTH} AS z FROM (SELECT u, p, sum(new) OVER (PARTITION BY u ORDER BY p) AS g FROM
   (SELECT u, p, CASE WHEN p <= lag(p) OVER (PARTITION BY u ORDER BY p) + {LENGTH} THEN 0 ELSE 1 END AS new FROM again)) GROUP BY u, g),
-gaps AS (SELECT u, z AS a, coalesce(lead(a) OVER (PARTITION BY u ORDER BY a), 1000000000000) AS z FROM (SELECT u, 0 AS a, 0 AS z FROM d UNION ALL SELECT u, a, z FROM runs)),
-kept AS (SELECT g.u, string_agg(array_slice(x, 2 * g.a + 1, 2 * least(g.z, n)), '' ORDER BY g.a) AS h FROM gaps g JOIN d ON g.u = d.u GROUP BY g.u),
+gaps AS (SELECT u, z AS a, coalesce(lead(a) OVER (PARTITION BY u ORDER BY a, z), 1000000000000) AS z FROM (SELECT u, 0 AS a, 0 AS z FROM d UNION ALL SELECT u, a, z FROM runs)),
+kept AS (SELECT g.u, string_agg(substr(x, 2 * g.a + 1, 2 * (least(g.z, n) - g.a)), '' ORDER BY g.a) AS h FROM gaps g JOIN d ON g.u = d.u GROUP BY g.u),
 counts AS (SELECT u, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY u)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256
 FROM d JOIN kept USING (u) LEFT JOIN counts USING (u)"""
