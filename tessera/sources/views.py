@@ -33,10 +33,14 @@ def nth(names: tuple[str, ...], position: Column) -> Column:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_memories(read(spark, sf_dir, "documents"))
+
+
+def as_memories(documents: DataFrame) -> DataFrame:
     """Knowledge records: type, status, review, ages and reference counts by arithmetic on doc_id."""
     i = F.col("doc_id")
     ago = lambda n: now() - days_ago((i % n).cast("int"))
-    return read(spark, sf_dir, "documents").select(
+    return documents.select(
         i.alias("id"),
         F.col("text").alias("content"),
         nth(OBJECT_TYPES, i % 7).alias("object_type"),
@@ -73,9 +77,13 @@ def memory_index(spark: SparkSession, sf_dir: str) -> lexicon.Index:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_outcomes(read(spark, sf_dir, "labels"))
+
+
+def as_outcomes(labels: DataFrame) -> DataFrame:
     """Feedback on memories: toxic or of low quality is unhelpful, else helpful."""
     bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
-    return read(spark, sf_dir, "labels").select(F.col("doc_id").alias("memory_id"), F.when(bad, "unhelpful").otherwise("helpful").alias("outcome"))
+    return labels.select(F.col("doc_id").alias("memory_id"), F.when(bad, "unhelpful").otherwise("helpful").alias("outcome"))
 
 
 OUTCOMES_SQL = "outcomes AS (SELECT doc_id AS memory_id, CASE WHEN toxic = 1 OR quality = 0 THEN 'unhelpful' ELSE 'helpful' END AS outcome FROM labels)"
@@ -120,7 +128,11 @@ priced AS (SELECT *, CASE model WHEN 'gpt-4' THEN input_tokens / 1000.0::DOUBLE
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("content"))
+    return as_turns(read(spark, sf_dir, "conversations"))
+
+
+def as_turns(conversations: DataFrame) -> DataFrame:
+    return conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("content"))
 
 
 def said(spark: SparkSession, sf_dir: str) -> DataFrame:
