@@ -1,9 +1,10 @@
 """A persisted inverted index for lexical search: Porter stems, BM25, snippets.
 
-An index is two tables in a folder that all executors share: postings (term, id, tf,
-dl) in folders by hash of the term and sorted by it, and one row of totals.  A search
-reads the folders of its terms only, and in them the row groups that hold the terms;
-texts are read for snippets alone.  Indexes are kept by what they were made from
+An index is four tables in a folder that all executors share: postings (term, id, tf,
+dl), what each term weighs at most in a block of ids, what it weighs at most anywhere
+and in how many rows it is, all three in folders by hash of the term and sorted by it;
+and one row of totals.  A search reads the folders of its terms only, and in them the
+row groups that hold the terms; texts are read for snippets alone.  Indexes are kept by what they were made from
 (files, their sizes and times), so a changed table gets a new one.
 """
 
@@ -28,8 +29,25 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 #: Folders of an index; postings that a file of one folder has at most, about.
 BUCKETS, FILE_ROWS = 64, 4_000_000
+#: Ids that share an upper bound of what a term weighs in them.
+BLOCK = 128
+#: Terms that are named to the reader of a table; of more, the folders alone are.
+MOST_NAMED = 2000
 #: Words in a snippet.
 SNIPPET = 32
+#: Columns of the tables in folders, and the mark of this layout.
+TABLES = {"postings": "term string, id long, tf int, dl int", "blocks": "term string, block long, most double", "terms": "term string, df long, most double"}
+LAYOUT = 2
+
+
+def weight(tf: Column, dl: Column, avg_dl: Column) -> Column:
+    """What a term that is in a row so often adds to its score, but for the term's rarity."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_dl))
+
+
+def rarity(n: Column, df: Column) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, LEAST_IDF).otherwise(idf)
 
 
 def bucket(term: Column) -> Column:
@@ -63,9 +81,19 @@ class Index:
 
     def postings(self, terms: Sequence[str]) -> DataFrame:
         """The postings of stems: only their folders are read."""
-        found = self.spark.read.schema("term string, id long, tf int, dl int, bucket int").parquet(f"{self.path}/postings")
         buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
-        return found.filter(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms))).drop("bucket")
+        return self.table("postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms))).drop("bucket")
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(f"{TABLES[name]}, bucket int").parquet(f"{self.path}/{name}")
+
+    def of(self, name: str, asked: DataFrame) -> DataFrame:
+        """The rows of a table for the terms of a (written) table ``asked``: only their folders are read, and few terms are named to the reader."""
+        buckets = [r[0] for r in asked.select(bucket(F.col("term"))).distinct().collect()]  # at most BUCKETS
+        terms = asked.select("term").distinct()
+        named = [r[0] for r in terms.limit(MOST_NAMED + 1).collect()]
+        found = self.table(name).filter(F.col("bucket").isin(buckets)).drop("bucket")
+        return found.filter(F.col("term").isin(named)) if len(named) <= MOST_NAMED else found.join(terms, "term", "left_semi")
 
     def totals(self) -> DataFrame:
         """One row: n (rows indexed), avg_dl."""
@@ -79,9 +107,7 @@ class Index:
         hits = self.postings(terms)
         df = hits.groupBy(F.col("term").alias("d_term")).agg(F.count("*").alias("df"))  # one row for each of the query's terms
         rated = hits.join(F.broadcast(df), F.col("term") == F.col("d_term")).join(F.broadcast(self.totals()))
-        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+        part = rarity(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
         # rounded, as a sum's last bits depend on its order, and equal rows are to be equal
         return rated.select("id", part.alias("part")).groupBy("id").agg(F.round(F.sum("part"), 10).alias("bm25"))
 
@@ -96,8 +122,15 @@ def build(rows: DataFrame, columns: Sequence[str], path: str, key: str = "id") -
     laid = laid.repartition("bucket", F.pmod("id", F.lit(spread))).sortWithinPartitions("bucket", "term", "id")
     laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     tokens = spark.read.schema("tf int").parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-    spark.createDataFrame([(size[0], tokens / max(1, size[0]))], "n long, avg_dl double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-    return Index(spark, path)
+    index, avg_dl = Index(spark, path), tokens / max(1, size[0])
+    most = F.max(weight(F.col("tf"), F.col("dl"), F.lit(avg_dl))).alias("most")
+    by = {"blocks": F.floor(F.col("id") / BLOCK).alias("block")}
+    for name, counts in (("blocks", ()), ("terms", (F.count("*").alias("df"),))):
+        rolled = index.table("postings").groupBy("bucket", "term", *([by[name]] if name in by else ())).agg(most, *counts)
+        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+        rolled.select(*columns, "bucket").repartition("bucket").sortWithinPartitions("bucket", *columns).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    spark.createDataFrame([(size[0], avg_dl)], "n long, avg_dl double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    return index
 
 
 # --- Where indexes are kept ----------------------------------------------------
@@ -116,7 +149,7 @@ def stamp(spark: SparkSession, paths: Sequence[str]) -> str:
 
 def kept(spark: SparkSession, name: str, sources: Sequence[str], rows: Callable[[], DataFrame], columns: Sequence[str], key: str = "id") -> Index:
     """The index of ``rows`` (made from the files ``sources``): an earlier one if nothing changed, else a new one."""
-    path = f"{shared_folder(spark)}/lexicon/{name}-{stamp(spark, [*sources])}-{BUCKETS}"
+    path = f"{shared_folder(spark)}/lexicon/{name}-{stamp(spark, [*sources])}-{BUCKETS}-{LAYOUT}"
     fs, done = file_system(spark, f"{path}/totals/_SUCCESS")
     if not fs.exists(done):
         LOG.info("indexing %s into %s", name, path)
