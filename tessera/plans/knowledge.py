@@ -90,23 +90,6 @@ KIN = " OR ".join(f"(ct = '{t}' AND et IN ({', '.join(map(repr, others))}))" for
 BAG = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\w\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 2))"
 
 
-@query(
-    "conflict_kinds",
-    f"""WITH {CLAIMS_SQL}, p AS (SELECT a.id AS candidate_id, b.id AS existing_id, a.content AS c, b.content AS e, a.object_type AS ct, b.object_type AS et, {BAG.format('a.content')} AS cw, {BAG.format('b.content')} AS ew FROM claims a JOIN claims b ON a.id > 6 AND b.id < a.id),
- s AS (SELECT *, len(list_intersect(cw, ew)) / len(list_distinct(list_concat(cw, ew)))::DOUBLE AS similarity FROM p),
- k AS (SELECT *, CASE WHEN similarity > 0.85 THEN 'duplicate' WHEN {oppose_sql('c', 'e')} THEN 'contradiction' WHEN similarity > 0.5 AND (ct = et OR {KIN}) THEN 'supersession' END AS kind FROM s),
- f AS (SELECT * FROM k WHERE kind IS NOT NULL), r AS (SELECT * FROM p WHERE candidate_id NOT IN (SELECT candidate_id FROM f)),
- u AS (SELECT DISTINCT x.candidate_id FROM r x JOIN r y ON x.candidate_id = y.candidate_id AND x.existing_id < y.existing_id WHERE {oppose_sql('x.e', 'y.e')})
- SELECT candidate_id, existing_id, kind, CASE WHEN kind = 'supersession' THEN 'medium' ELSE 'high' END AS severity FROM f UNION ALL SELECT candidate_id, NULL, 'ambiguity', 'medium' FROM u""",
-)
-def conflict_kinds(spark, d):
-    known = literal_claims(spark)
-    new = known.filter("id > 6").select(F.col("id").alias("candidate_id"), F.col("content").alias("candidate"), F.col("object_type").alias("candidate_type"))
-    old = known.select(F.col("id").alias("existing_id"), F.col("content").alias("existing"), F.col("object_type").alias("existing_type"))
-    related = new.join(F.broadcast(old), F.col("existing_id") < F.col("candidate_id"))
-    return C.conflicts(related).select("candidate_id", "existing_id", "kind", "severity")
-
-
 @query(
     "similar_memories",
     f"""WITH {M}, b AS (SELECT id, {BAG.format('content')} AS ws FROM memories), w AS (SELECT *, max(id) OVER (PARTITION BY list_sort(ws)) AS rep FROM b WHERE len(ws) > 0), u AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM w WHERE id = rep),
