@@ -181,12 +181,31 @@ def leaves(query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(leaves, query[1]))
 
 
-def holds(query, lists: Column) -> Column:
-    """The query over a block's posting lists (map of trigram to sorted keys): the keys that satisfy it."""
+#: Conditions of a rule at most; what more of them would rule out is left to verification.
+MOST_CLAUSES = 64
+
+
+def clauses(query) -> list[frozenset[str]]:
+    """The query as conditions that all hold, each one of several trigrams; of very many, some."""
     if isinstance(query, str):
-        return F.coalesce(F.try_element_at(lists, F.lit(query)), F.array().cast("array<long>"))
-    parts = [holds(q, lists) for q in sorted(query[1], key=str)]
-    return reduce(F.array_intersect if query[0] == "and" else F.array_union, parts)
+        return [frozenset({query})]
+    parts = [clauses(q) for q in sorted(query[1], key=str)]
+    if query[0] == "and":
+        out = set().union(*parts)
+    else:
+        out = {frozenset()}
+        for part in parts:
+            out = set(sorted({a | b for a in out for b in part}, key=lambda c: (len(c), sorted(c)))[:MOST_CLAUSES])
+    # what a condition implies needs no asking
+    least = [c for c in out if not any(d < c for d in out)]
+    return sorted(least, key=lambda c: (len(c), sorted(c)))
+
+
+def holds(conditions: Column, lists: Column) -> Column:
+    """The keys that meet all conditions, by a block's posting lists (map of trigram to sorted keys): lists of one are united, the unions intersected."""
+    listed = lambda g: F.coalesce(F.try_element_at(lists, g), F.array().cast("array<long>"))
+    united = lambda c: F.array_distinct(F.flatten(F.transform(c, listed)))
+    return F.aggregate(F.slice(conditions, 2, F.size(conditions)), united(F.element_at(conditions, 1)), lambda keys, c: F.array_intersect(keys, united(c)))
 
 
 # --- Index, intersection, verification ----------------------------------------
@@ -278,8 +297,11 @@ def postings(indexed: DataFrame) -> DataFrame:
 def candidates(lists: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Documents that some rule's query leaves: key, asked (the rules' places); posting lists of a block are intersected."""
     held = lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("lists"))  # as many as there are trigrams in rules
-    left = F.array(*(F.struct(F.lit(i).alias("rule"), holds(q, F.col("lists")).alias("keys")) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None))
-    each = held.select(F.explode(left).alias("l")).select("l.rule", F.explode("l.keys").alias("key"))
+    # a row per block and rule, so that one small expression serves all rules
+    asked = [F.struct(F.lit(i).alias("rule"), F.array(*(F.array(*map(F.lit, sorted(c))) for c in clauses(q))).alias("all")) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None]
+    if not asked:
+        return lists.select(F.lit(0).cast("long").alias("key"), F.array(F.lit(0)).alias("asked")).limit(0)
+    each = held.select("lists", F.explode(F.array(*asked)).alias("q")).select("q.rule", F.explode(holds(F.col("q.all"), F.col("lists"))).alias("key"))
     return each.groupBy("key").agg(F.array_sort(F.collect_set("rule")).alias("asked"))
 
 

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tessera.llm import chat, near_dup, packing, pii, quality, secrets
-from tessera.llm.common import table
+from tessera.llm.common import Scratch, table
 
 TINY = "/root/testdata/sf0.001"
 
@@ -31,3 +31,20 @@ def test_only_needed_columns_are_read(spark):
     docs = table(spark, TINY, "documents")
     for df in (packing.pack(docs, packing.default_tokenizer()), near_dup.sign(docs, 5, 25, 5, False), secrets.index(docs)):
         assert re.search(r"ReadSchema: struct<doc_id:bigint,text:string>", plan(df)), plan(df)[-500:]
+
+
+def test_postings_are_intersected_in_compiled_code(spark):
+    """No stage falls back to the interpreter because its code has grown too long."""
+    lists = Scratch(spark, "t").put(secrets.postings(Scratch(spark, "t").put(secrets.index(table(spark, TINY, "documents")))))
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert secrets.candidates(lists).count() > 0
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
+
+
+def test_clauses_say_what_a_query_says():
+    query = ("or", frozenset({("and", frozenset({"abc", "bcd"})), "xyz", ("and", frozenset({"bcd", ("or", frozenset({"cde", "xyz"}))}))}))
+    assert [sorted(c) for c in secrets.clauses(query)] == [["bcd", "xyz"], ["abc", "cde", "xyz"]]
+    assert secrets.clauses("abc") == [frozenset({"abc"})]
