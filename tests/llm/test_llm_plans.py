@@ -35,11 +35,12 @@ def test_only_needed_columns_are_read(spark):
 
 def test_postings_are_intersected_in_compiled_code(spark):
     """No stage falls back to the interpreter because its code has grown too long."""
-    lists = Scratch(spark, "t").put(secrets.postings(Scratch(spark, "t").put(secrets.index(table(spark, TINY, "documents")))))
+    docs = spark.createDataFrame([(1, "password = hunter22x"), (2, "no secret"), (3, "-----BEGIN RSA PRIVATE KEY-----")], "doc_id long, text string")
+    lists = Scratch(spark, "t").put(secrets.postings(Scratch(spark, "t").put(secrets.index(docs))))
     before = spark.conf.get("spark.sql.codegen.fallback")
     spark.conf.set("spark.sql.codegen.fallback", "false")
     try:
-        assert secrets.candidates(lists).count() > 0
+        assert secrets.candidates(lists).count() == 3
     finally:
         spark.conf.set("spark.sql.codegen.fallback", before)
 
