@@ -15,6 +15,7 @@ import logging
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -167,33 +168,69 @@ def search(index: Index, rows: DataFrame, query: Sequence[str], limit: int = 50,
     return hits.select(F.col("id").alias(key), "bm25").orderBy(F.desc("bm25"), key).limit(limit)
 
 
+def best_window(size: int, hits: list[tuple[int, int]], sentences: list[int], most: int) -> int:
+    """Where the ``most`` words that a snippet shows begin, of ``size`` words; hits: place and term of the words that match.
+
+    Each hit opens a window, and so does the sentence it lies in.  In a window the first
+    hit of a term counts 1000, each other one 1; a sentence counts 100 more, the first
+    of the text 120.  The first of the best windows wins; one that a hit opens is moved
+    so that its hits lie in the middle.
+    """
+    places = [p for p, _ in hits]
+
+    def worth(start: int) -> tuple[int, int]:
+        inside = hits[bisect_left(places, start) : bisect_left(places, start + most)]
+        if not inside:
+            return 0, start
+        terms = len({t for _, t in inside})
+        middle = inside[0][0] - (most - (inside[-1][0] + 1 - inside[0][0])) // 2
+        return 1000 * terms + len(inside) - terms, max(0, min(middle, size - most))
+
+    best, begin = 0, 0
+    for place, _ in hits:
+        score, middle = worth(place)
+        if score > best:
+            best, begin = score, middle
+        if size > most and (at := bisect_right(sentences, place) - 1) >= 0 and sentences[at] < place:
+            score = worth(sentences[at])[0] + (100 if sentences[at] else 120)
+            if score > best:
+                best, begin = score, sentences[at]
+    return begin
+
+
 def snippet(content: Column, query: Sequence[str], most: int = SNIPPET) -> Column:
-    """Up to ``most`` words around the first that matches, matches in <mark>, cuts shown as three dots.
+    """Up to ``most`` words of the best window (best_window), matches in <mark>, cuts shown as three dots.
 
-    A window starts at the first match and takes what precedes it if the text's end is
-    near; how a full-text engine rates windows is not reproduced.
+    A sentence begins with the text, and after a full stop or colon and white space.
+    Meant for the texts of the best hits, not of all rows.
     """
-    terms = query_terms(query)
+    terms = {t: i for i, t in enumerate(query_terms(query))}
 
     @F.pandas_udf("string")
     def cut(texts):
+        known: dict[str, int | None] = {}
+
+        def term(word: str) -> int | None:
+            if word not in known:
+                known[word] = terms.get(next(iter(query_terms([word])), None))
+            return known[word]
+
         def one(t):
             if t is None:
                 return None
             found = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t)]
-            hit = [bool(query_terms([t[a:b]])) and query_terms([t[a:b]])[0] in terms for a, b in found]
-            if not any(hit):
-                return t if len(found) <= most else t[: found[most - 1][1]] + "..."
-            first = max(0, min(hit.index(True), len(found) - most))
+            said = [term(t[a:b]) for a, b in found]
+            hits = [(i, s) for i, s in enumerate(said) if s is not None]
+            opens = {m.end() for m in re.finditer(r"[.:][ \t\n\r]+", t)} | {0}
+            begins = [i for i, (a, _) in enumerate(found) if a in opens]
+            first = best_window(len(found), hits, begins, most)
             last = min(len(found), first + most)
             out, at = [], 0 if first == 0 else found[first][0]
-            for (a, b), is_hit in zip(found[first:last], hit[first:last], strict=True):
-                out.append(t[at:a] + (f"<mark>{t[a:b]}</mark>" if is_hit else t[a:b]))
+            for (a, b), is_hit in zip(found[first:last], said[first:last], strict=True):
+                out.append(t[at:a] + (f"<mark>{t[a:b]}</mark>" if is_hit is not None else t[a:b]))
                 at = b
             return ("" if first == 0 else "...") + "".join(out) + (t[at:] if last == len(found) else "...")
 
         return texts.map(one)
 
     return cut(content)
-
-

@@ -70,6 +70,14 @@ def event_search(spark, d):
     return events.select("id", "session_id", "role").join(F.broadcast(top), "id").select("id", "session_id", "role", F.round("bm25", 6).alias("bm25"))
 
 
+@query("snippets")
+def snippets(spark, d):
+    """The best memories for some words, each with its best window; the texts of these alone are read through."""
+    memories = V.memories(spark, d)
+    top = L.search(V.memory_index(spark, d), memories.filter("status = 'active'"), EVENT_TERMS)
+    return memories.select("id", "content").join(F.broadcast(top), "id").select("id", F.round("bm25", 6).alias("bm25"), L.snippet(F.col("content"), EVENT_TERMS).alias("snippet"))
+
+
 LIKE = 5
 OWN_WORDS = f"SELECT DISTINCT s FROM said JOIN stems USING (w) WHERE id = {LIKE} AND w IN (SELECT strip_accents(lower(unnest(list_filter(string_split(trim(regexp_replace(regexp_replace(content, '{chr(91)}^\\p{{L}}\\p{{N}}_{chr(93)}', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: length(x) >= 2 AND lower(x) NOT IN ({', '.join(repr(w) for w in text.STOP_WORDS)}) AND upper(x) NOT IN ('AND', 'OR', 'NOT', 'NEAR'))))) FROM memories WHERE id = {LIKE})"
 

@@ -75,7 +75,22 @@ def test_snippets(spark):
     long = " ".join(f"w{i}" for i in range(50)) + " the Connections broke " + " ".join(f"v{i}" for i in range(50))
     rows = spark.createDataFrame([(1, long), (2, "connected, at last"), (3, None), (4, "nothing here")], "id long, content string")
     got = dict(rows.select("id", lexicon.snippet(F.col("content"), ["connection"], 5)).collect())
-    assert got == {1: "...<mark>Connections</mark> broke v0 v1 v2...", 2: "<mark>connected</mark>, at last", 3: None, 4: "nothing here"}
+    assert got == {1: "...w49 the <mark>Connections</mark> broke v0...", 2: "<mark>connected</mark>, at last", 3: None, 4: "nothing here"}
+
+
+@pytest.mark.parametrize("most", [4, 9, 32])
+def test_snippets_are_those_of_a_full_text_engine(spark, most):
+    draw = random.Random(most)
+    seps = [" "] * 12 + [". ", ": ", ", ", ".\n", " - ", ".", "  ", "; "]
+    rows = [(i, "".join(draw.choice(WORDS) + draw.choice(seps) for _ in range(draw.choice([0, 3, 9, 40, 90]))), "") for i in range(250)]
+    rows += [(900, ". leading mark connection. And relations happily: running on " * 9, ""), (901, "  two spaces first. connection " * 8, "")]
+    con = engine(rows)
+    for query in (["connection"], ["relations", "happily", "cafe"], ["the", "of", "and", "running", "über"], ["v12", "straße"]):
+        match = " OR ".join(f'"{w}"' for w in query)
+        want = dict(con.execute(f"SELECT rowid, snippet(t, 0, '<mark>', '</mark>', '...', {most}) FROM t WHERE t MATCH ?", (match,)).fetchall())
+        df = spark.createDataFrame(rows, "id long, content string, scope_path string").select("id", lexicon.snippet(F.col("content"), query, most).alias("s"))
+        got = dict(df.collect())
+        assert len(want) > 5 and {i: got[i] for i in want} == want
 
 
 def test_searches_of_the_catalogue_read_no_texts(spark):
