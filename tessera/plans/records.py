@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import score, text
 from ..operators import records as R
+from ..operators import running
 from ..sources import views as V
 
 QUERIES, SQL = {}, {}
@@ -154,6 +155,24 @@ def budget_running(spark, d):
     return R.budget_running(R.with_cost(V.usage(spark, d)), 0.1, 5000).select("event_id", "session_id", F.floor(F.col("spent") * 1e5 + 0.01).cast("long").alias("spent_e5"), "tokens", "budget")
 
 
+PAID = "paid AS (SELECT *, CAST(round(cost * 1e9) AS BIGINT) AS units, CAST(ts AS DATE) AS day FROM priced)"
+
+
+@query("budget_gate", f"""WITH {U}, {PAID}, r AS (SELECT event_id, session_id, CAST(coalesce(sum(input_tokens + output_tokens) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tokens,
+ CAST(coalesce(sum(units) OVER (PARTITION BY day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent FROM paid)
+ SELECT *, CASE WHEN tokens + 1000 > 5000 THEN 'session_tokens' WHEN spent >= 200000000 THEN 'day_cost' END AS reason, tokens + 1000 <= 5000 AND spent < 200000000 AS allowed FROM r""")
+def budget_gate(spark, d):
+    """Every call, and whether it may proceed by its session's tokens and its day's cost."""
+    return running.budget_gate(R.with_cost(V.usage(spark, d)), 5000, 0.2).select("event_id", "session_id", "tokens", "spent", "reason", "allowed")
+
+
+@query("budget_status", f"""WITH {U}, s AS (SELECT session_id, round(sum(cost), 9) AS session_used, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens_used, CAST(max(ts) AS DATE) AS day FROM priced GROUP BY 1),
+ d AS (SELECT CAST(ts AS DATE) AS day, round(sum(cost), 9) AS day_used FROM priced GROUP BY 1) SELECT session_id, strftime(day, '%Y-%m-%d') AS day, round(session_used / 0.1 * 100, 5) AS session_percent, round(day_used / 0.2 * 100, 5) AS day_percent, round(tokens_used / 5000.0 * 100, 5)::DOUBLE AS tokens_percent FROM s JOIN d USING (day)""")
+def budget_status(spark, d):
+    s = running.budget_status(R.with_cost(V.usage(spark, d)), 0.1, 0.2, 5000)
+    return s.select("session_id", F.date_format("day", "yyyy-MM-dd").alias("day"), *(F.round(c, 5).alias(c) for c in ("session_percent", "day_percent", "tokens_percent")))
+
+
 @query("token_estimate", f"WITH {M} SELECT id, {TOKENS} AS tokens FROM memories")
 def token_estimate(spark, d):
     return V.memories(spark, d).select("id", text.estimate_tokens(F.col("content")).alias("tokens"))
