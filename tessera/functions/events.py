@@ -86,6 +86,7 @@ def inferred_exit_code(tool: Column, result: Column) -> Column:
     return F.when(F.lower(tool) == "bash", F.coalesce(named, failed))
 
 
+# How source files are named in texts.
 KINDS = "ts|js|tsx|jsx"
 CODE_PATHS = (
     rf"""(?i)(?:file|path):\s*["']?([^\s"']+\.(?:{KINDS}|py|rs|go|java|c|cpp|h|md|json|yaml|yml|toml))""",

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import language as L
+from ..functions.events import CODE_PATHS, code_paths
 from ..operators import context as P
 from ..operators import curate as C
 from ..operators import evidence as E
@@ -108,17 +109,23 @@ EVENTS = (
 
 
 FIRST_SESSION, FIRST_EVENT = 100, 1_000_000
+#: What turns say before their own text, by (8 conv_id + turn) % 13; # stands for the conversation. Every fifth conversation repeats REPEATED instead.
+SAYINGS = ("Error: cannot find module m#", "Fixed by installing package p#.", "No, you should keep helper h# in one place.", "Never use casts in module m#.", "Always use the shared client c# because it must never open two connections.", "I decided to use the cache in src/m#/index.ts because it is faster.")
+REPEATED = "We are using pytest for tests."
 
 
 def events(spark, d):
-    """Literal events, and every turn as one: an assistant's every third is a tool's output, which succeeds in every second session."""
+    """Literal events, and every turn as one: an assistant's, in two of three sessions, is a tool's output, and every second of these succeeds."""
     rows = spark.createDataFrame(list(EVENTS), "session_id long, event_id long, at long, event_type string, content string, tool_name string, exit_code int")
     pos = F.col("pos")
-    tool = (F.col("role") == "assistant") & (pos % 3 == 0)
-    turns = V.turns(spark, d).select(
+    tool = (F.col("role") == "assistant") & (F.col("session_id") % 3 != 0)
+    said = F.when(F.col("session_id") % 5 == 0, REPEATED)
+    for i, saying in enumerate(SAYINGS):
+        said = said.when((F.col("session_id") * 8 + pos) % 13 == i, F.replace(F.lit(saying), F.lit("#"), F.col("session_id").cast("string")))
+    turns = V.turns(spark, d).withColumn("content", F.concat_ws("\n", said, "content")).select(
         (F.col("session_id") + FIRST_SESSION).alias("session_id"), (F.col("session_id") * 1000 + pos + FIRST_EVENT).alias("event_id"), (pos * 40).cast("long").alias("at"),
         F.when(F.col("role") == "user", "user_prompt").when(tool, "tool_output").otherwise("turn").alias("event_type"), "content",
-        F.when(tool, "bash").alias("tool_name"), F.when(tool, F.col("session_id") % 2).cast("int").alias("exit_code"),
+        F.when(tool, F.when(pos % 4 == 1, "bash").otherwise("edit")).alias("tool_name"), F.when(tool, (F.floor(pos / 2) + F.col("session_id")) % 2).cast("int").alias("exit_code"),
     )
     return rows.unionByName(turns).withColumn("ts", F.timestamp_seconds("at"))
 
@@ -127,9 +134,10 @@ def literal(v) -> str:
     return "NULL" if v is None else str(v) if isinstance(v, int) else quoted(v).replace("\n", "' || chr(10) || '")
 
 
+SAID_FIRST = f"CASE WHEN conv_id % 5 = 0 THEN {quoted(REPEATED)} " + " ".join(f"WHEN (conv_id * 8 + turn) % 13 = {i} THEN replace({quoted(x)}, '#', CAST(conv_id AS VARCHAR))" for i, x in enumerate(SAYINGS)) + " END"
 EV = f"""ev AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join(map(literal, e)) + ")" for e in EVENTS)}) v(session_id, event_id, sec, event_type, content, tool_name, exit_code)
- UNION ALL SELECT conv_id + {FIRST_SESSION}, conv_id * 1000 + turn + {FIRST_EVENT}, turn * 40, CASE WHEN role = 'user' THEN 'user_prompt' WHEN role = 'assistant' AND turn % 3 = 0 THEN 'tool_output' ELSE 'turn' END, text,
- CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN 'bash' END, CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN conv_id % 2 END FROM conversations)"""
+ UNION ALL SELECT conv_id + {FIRST_SESSION}, conv_id * 1000 + turn + {FIRST_EVENT}, turn * 40, CASE WHEN role = 'user' THEN 'user_prompt' WHEN role = 'assistant' AND conv_id % 3 <> 0 THEN 'tool_output' ELSE 'turn' END, concat_ws(chr(10), {SAID_FIRST}, text),
+ CASE WHEN role = 'assistant' AND conv_id % 3 <> 0 THEN CASE WHEN turn % 4 = 1 THEN 'bash' ELSE 'edit' END END, CASE WHEN role = 'assistant' AND conv_id % 3 <> 0 THEN (turn // 2 + conv_id) % 2 END FROM conversations)"""
 
 
 def first_of(patterns, group: int, flags: str = "") -> str:
@@ -158,7 +166,7 @@ def corrected_sql(severity: str, pattern: str) -> str:
 CORRECTED = "corrected AS (" + " UNION ALL ".join(corrected_sql(s, p) for s, ps in (("must", L.MUST), ("should", L.SHOULD)) for p in ps) + ")"
 CURATED = f"""{EV}, {FIXED}, {HABITS}, {CORRECTED}, made AS (SELECT session_id, error_id AS event_id, 'Error: ' || signature || ' Fix: ' || fix AS content, 'known_fix' AS object_type, 'high' AS confidence FROM fixes
  UNION ALL SELECT session_id, event_id, content, 'constraint', CASE WHEN severity = 'must' THEN 'high' ELSE 'medium' END FROM corrected UNION ALL SELECT session_id, NULL, phrase, 'convention', confidence FROM habits),
- merged AS (SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY substr(lower(content), 1, 100) ORDER BY list_position(['certain', 'high', 'medium', 'low'], confidence), event_id NULLS LAST, content) = 1)"""
+ merged AS (SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY substr(lower(content), 1, 100) ORDER BY list_position(['certain', 'high', 'medium', 'low'], confidence), event_id NULLS LAST, content, session_id) = 1)"""
 
 
 @query("known_fixes", f"WITH {EV}, {FIXED} SELECT * FROM fixes")
@@ -244,13 +252,60 @@ def learning_moments(spark, d):
     return S.learning_moments(events(spark, d))
 
 
+@query("event_corrections", f"WITH {EV}, {CORRECTED} SELECT * FROM corrected")
+def event_corrections(spark, d):
+    """What users and assistants correct, in all events."""
+    return C.corrections(events(spark, d))
+
+
+EVENT_PATHS = " UNION ALL ".join(f"SELECT event_id, unnest(regexp_extract_all(content, {quoted(p)}, 1)) AS path FROM ev" for p in CODE_PATHS)
+
+
+@query("event_paths", f"WITH {EV}, f AS ({EVENT_PATHS}) SELECT DISTINCT event_id, regexp_replace(path, '^\\./', '') AS path FROM f WHERE length(path) BETWEEN 3 AND 199")
+def event_paths(spark, d):
+    """Source files that events name."""
+    return events(spark, d).select("event_id", F.explode(code_paths(F.col("content"))).alias("path"))
+
+
+FACTS_SAID = ("I went to the museum of town # yesterday.", "My field is counseling.", "I really love painting.", "Tom got a dog last week!", "We plan to travel to town #.")
+
+
 @query("facts")
 def facts(spark, d):
-    rows = [(1, "Caroline", "I went to the museum yesterday. My field is counseling. I really love painting.", "2023-05-09"), (2, "Mel", "Tom got a dog last week! We plan to travel to Rome.", "2023-06-01")]
-    return C.facts(spark.createDataFrame(rows, "message_id long, speaker string, content string, session_date string"))
+    """Facts that all conversations tell: every turn's own text after a saying by its place."""
+    n = F.col("session_id") * 8 + F.col("pos")
+    said = F.lit(None).cast("string")
+    for i, saying in enumerate(FACTS_SAID):
+        said = F.when(n % 7 == i, F.replace(F.lit(saying), F.lit("#"), F.col("session_id").cast("string"))).otherwise(said)
+    day = F.date_format(F.date_add(F.lit("2023-05-01").cast("date"), (F.col("session_id") % 200).cast("int")), "yyyy-MM-dd")
+    turns = V.turns(spark, d).select(n.alias("message_id"), F.when(F.col("role") == "user", "Caroline").otherwise("Mel").alias("speaker"), F.concat_ws(" ", said, "content").alias("content"), day.alias("session_date"))
+    return C.facts(turns)
+
+
+SCRIPT_SAID, PYTHON_SAID = "export async function load#(a) {\n}\nclass Store# {\n}\nexport type Id#<T> = string\nconst size# = 1\n", "class A#:\n    def run#(self):\n        pass\ndef _own#():\n"
+
+
+def first_kind(rules, group: int) -> str:
+    """The kind (or a group) of the first rule that a line meets."""
+    return " ".join(f"WHEN regexp_matches(line, {quoted(p)}) THEN " + (quoted(k) if group == 0 else f"regexp_extract(line, {quoted(p)}, {group})") for k, p in rules)
+
+
+def symbol_sql(ending: str, rules, exported: str) -> str:
+    return f"SELECT path, CASE {first_kind(rules, 2)} END AS name, CASE {first_kind(rules, 0)} END AS kind, CAST(line_no AS INTEGER) AS line, {exported} AS exported FROM lines WHERE path LIKE '%{ending}'"
+
+
+literal_lines = lambda x: quoted(x).replace("\n", "' || chr(10) || '")
+SYMBOLS = f"""WITH files AS (SELECT 'src/f' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' ELSE '.txt' END AS path,
+  string_split(replace(CASE doc_id % 3 WHEN 1 THEN {literal_lines(PYTHON_SAID)} ELSE {literal_lines(SCRIPT_SAID)} END, '#', CAST(doc_id AS VARCHAR)) || text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+ lines AS (SELECT path, ls[line_no] AS line, line_no FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS line_no FROM files)),
+ found AS ({symbol_sql('.ts', E.SCRIPT, f"(CASE {first_kind(E.SCRIPT, 1)} END) <> ''")} UNION ALL {symbol_sql('.py', E.PYTHON, f"NOT starts_with(CASE {first_kind(E.PYTHON, 2)} END, '_')")})
+ SELECT * FROM found WHERE kind IS NOT NULL"""
 
 
-@query("symbols")
+@query("symbols", SYMBOLS)
 def symbols(spark, d):
-    code = "export async function load(a) {\n}\nclass Store {\n}\nexport type Id<T> = string\n"
-    return E.symbols(spark.createDataFrame([("a.ts", code), ("b.py", "class A:\n    def run(self):\n        pass\n")], "path string, text string"))
+    """Symbols of source files, one for each document: declarations before its text."""
+    i = F.col("doc_id")
+    said = F.replace(F.when(i % 3 == 1, PYTHON_SAID).otherwise(SCRIPT_SAID), F.lit("#"), i.cast("string"))
+    path = F.concat(F.lit("src/f"), i.cast("string"), F.when(i % 3 == 0, ".ts").when(i % 3 == 1, ".py").otherwise(".txt"))
+    return E.symbols(V.read(spark, d, "documents").filter("text is not null").select(path.alias("path"), F.concat(said, "text").alias("text")))
