@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import compaction
 from ..operators import conflicts as C
 from ..operators import evidence as E
 from ..operators import lifecycle as K
 from ..operators import records as R
 from ..sources import views as V
+from ..sources.store import shared_folder
 from .records import TIER, TOKENS
 
 QUERIES, SQL = {}, {}
@@ -172,18 +176,35 @@ def snapshots(spark, d):
     return shots.select(F.col("path").alias("doc_id"), "hash", F.col("size").cast("long").alias("size"), F.col("lines").cast("long").alias("lines"), "range_hash")
 
 
-@query(
-    "change_log_state",
-    """WITH c AS (SELECT user_id AS id, event_id AS version, CASE event_type WHEN 'error' THEN 'stale' WHEN 'view' THEN 'verify' WHEN 'click' THEN 'approve' WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'delete' ELSE 'update' END ELSE 'reject' END AS op, CASE WHEN event_type = 'purchase' THEN value END AS value FROM events),
+CHANGED = """WITH c AS (SELECT user_id AS id, event_id AS version, CASE event_type WHEN 'error' THEN 'stale' WHEN 'view' THEN 'verify' WHEN 'click' THEN 'approve' WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'delete' ELSE 'update' END ELSE 'reject' END AS op, CASE WHEN event_type = 'purchase' THEN value END AS value FROM events),
  a AS (SELECT id, version, op, value, CASE op WHEN 'stale' THEN 'stale' WHEN 'verify' THEN 'active' WHEN 'reject' THEN 'retired' END AS status, CASE op WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' END AS review_status FROM c)
- SELECT id, max(version) AS version, arg_max(status, version) FILTER (status IS NOT NULL) AS status, arg_max(review_status, version) FILTER (review_status IS NOT NULL) AS review_status, arg_max(value, version) FILTER (value IS NOT NULL) AS value FROM a GROUP BY 1 HAVING arg_max(op, version) <> 'delete'""",
-)
-def change_log_state(spark, d):
+ SELECT id, max(version) AS version, arg_max(status, version) FILTER (status IS NOT NULL) AS status, arg_max(review_status, version) FILTER (review_status IS NOT NULL) AS review_status, arg_max(value, version) FILTER (value IS NOT NULL) AS value FROM a GROUP BY 1 HAVING arg_max(op, version) <> 'delete'"""
+CHANGED_COLUMNS = ["status", "review_status", "value"]
+
+
+def changes_of(spark, d):
     kind = F.col("event_type")
     op = F.when(kind == "error", "stale").when(kind == "view", "verify").when(kind == "click", "approve").when(kind == "purchase", F.when(F.col("event_id") % 4 == 0, "delete").otherwise("update")).otherwise("reject")
     none = F.lit(None).cast("string")
-    changes = V.read(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), op.alias("op"), F.when(kind == "purchase", F.col("value")).alias("value"), none.alias("status"), none.alias("review_status"))
-    return K.current(changes, ["status", "review_status", "value"])
+    return V.read(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), op.alias("op"), F.when(kind == "purchase", F.col("value")).alias("value"), none.alias("status"), none.alias("review_status"))
+
+
+@query("change_log_state", CHANGED)
+def change_log_state(spark, d):
+    return K.current(changes_of(spark, d), CHANGED_COLUMNS)
+
+
+@query("state_from_snapshot", CHANGED)
+def state_from_snapshot(spark, d):
+    """The same state from a snapshot of the first two thirds of the log, made twice, and the changes since."""
+    changes = changes_of(spark, d)
+    path, block = f"{shared_folder(spark)}/log-{uuid.uuid4().hex[:12]}", 1000
+    upto = changes.agg(F.max("version")).first()[0] * 2 // 3
+    compaction.append(changes.filter(F.col("version") <= upto), path, block)
+    for _ in range(2):
+        compaction.compact(spark, path, changes.schema, CHANGED_COLUMNS, block=block)
+    compaction.append(changes.filter(F.col("version") > upto), path, block)
+    return compaction.state(spark, path, changes.schema, CHANGED_COLUMNS, block)
 
 
 @query("reinforced", f"WITH {M}, a AS (SELECT user_id * 3 AS id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) SELECT m.id, access_count + coalesce(n, 0) AS access_count, round(least(1.0, strength + coalesce(n, 0) * 0.15::DOUBLE), 6) AS strength FROM memories m LEFT JOIN a ON a.id = m.id")
