@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import score, text
+from ..operators import lookup
 from ..operators import records as R
 from ..operators import running
 from ..sources import views as V
@@ -188,6 +189,16 @@ def duplicate_groups(spark, d):
     return R.duplicate_groups(V.memories(spark, d))
 
 
+@query("id_prefix", """WITH k AS (SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS key FROM documents), a AS (SELECT DISTINCT substr(sha256(CAST(event_id AS VARCHAR)), 1, CAST(2 + event_id % 3 AS INTEGER)) AS prefix FROM events),
+ c AS (SELECT prefix, count(key) AS n, min(key) AS one FROM a LEFT JOIN k ON starts_with(key, prefix) GROUP BY 1) SELECT prefix, n, CASE WHEN n = 1 THEN one END AS id FROM c""")
+def id_prefix(spark, d):
+    """Which memory's id each beginning of an id names, for one beginning per event."""
+    name = lambda c: F.substring(F.sha2(F.col(c).cast("string"), 256), 1, 16)
+    ids = V.read(spark, d, "documents").select(name("doc_id").alias("key"))
+    asked = V.read(spark, d, "events").select(F.substring(name("event_id"), F.lit(1), (2 + F.col("event_id") % 3).cast("int")).alias("prefix"))
+    return lookup.resolved(ids, "key", asked, (2, 3, 4))
+
+
 @query("blob_orphans", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def blob_orphans(spark, d):
     return R.orphans(V.read(spark, d, "documents").select("doc_id"), V.read(spark, d, "labels").select(F.col("doc_id").alias("owner")), "doc_id", "owner")
