@@ -308,3 +308,8 @@ def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFra
     found = asked.groupBy("i", "j").cogroup(data.groupBy("i", "j")).applyInPandas(compare, "query_id long, vec_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def united_evidence(members: DataFrame, evidence: DataFrame, group: str) -> DataFrame:
+    """group, event_id: what the members of a group (id) have as evidence (id, event_id), each event once."""
+    return members.select(F.col("id").alias("_id"), group).join(evidence, F.col("_id") == F.col("id")).select(group, "event_id").distinct()
