@@ -57,9 +57,10 @@ def budget_gate(priced: DataFrame, session_tokens: int, day_cost: float, estimat
 
 
 def budget_status(priced: DataFrame, session_cost: float, day_cost: float, session_tokens: int) -> DataFrame:
-    """session_id, day, used and percent of the session's cost and tokens and of its last day's cost."""
-    last = priced.groupBy("session_id").agg(F.round(F.sum("cost"), 9).alias("session_used"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens_used"), F.to_date(F.max("ts")).alias("day"))
-    days = priced.groupBy(F.to_date("ts").alias("of")).agg(F.round(F.sum("cost"), 9).alias("day_used"))  # one row a day
-    percent = lambda used, limit: F.round(F.col(used) / F.lit(limit) * 100, 6)
+    """session_id, day (its last), what is used of the session's cost, the day's cost (in units of 1e-9) and the session's tokens, and the percentages."""
+    units = F.sum(F.round(F.col("cost") * UNITS).cast("long"))
+    last = priced.groupBy("session_id").agg(units.alias("session_used"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens_used"), F.to_date(F.max("ts")).alias("day"))
+    days = priced.groupBy(F.to_date("ts").alias("of")).agg(units.alias("day_used"))  # one row a day
+    percent = lambda used, limit: F.col(used) * 100 / F.lit(limit)
     joined = last.join(F.broadcast(days), F.col("day") == F.col("of")).drop("of")
-    return joined.select("*", percent("session_used", session_cost).alias("session_percent"), percent("day_used", day_cost).alias("day_percent"), percent("tokens_used", session_tokens).alias("tokens_percent"))
+    return joined.select("*", percent("session_used", session_cost * UNITS).alias("session_percent"), percent("day_used", day_cost * UNITS).alias("day_percent"), percent("tokens_used", session_tokens).alias("tokens_percent"))

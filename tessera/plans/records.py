@@ -167,11 +167,12 @@ def budget_gate(spark, d):
     return running.budget_gate(R.with_cost(V.usage(spark, d)), 5000, 0.2).select("event_id", "session_id", "tokens", "spent", "reason", "allowed")
 
 
-@query("budget_status", f"""WITH {U}, s AS (SELECT session_id, round(sum(cost), 9) AS session_used, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens_used, CAST(max(ts) AS DATE) AS day FROM priced GROUP BY 1),
- d AS (SELECT CAST(ts AS DATE) AS day, round(sum(cost), 9) AS day_used FROM priced GROUP BY 1) SELECT session_id, strftime(day, '%Y-%m-%d') AS day, round(session_used / 0.1 * 100, 5) AS session_percent, round(day_used / 0.2 * 100, 5) AS day_percent, round(tokens_used / 5000.0 * 100, 5)::DOUBLE AS tokens_percent FROM s JOIN d USING (day)""")
+@query("budget_status", f"""WITH {U}, {PAID}, s AS (SELECT session_id, CAST(sum(units) AS BIGINT) AS session_used, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens_used, max(day) AS day FROM paid GROUP BY 1), d AS (SELECT day, CAST(sum(units) AS BIGINT) AS day_used FROM paid GROUP BY 1)
+ SELECT session_id, strftime(day, '%Y-%m-%d') AS day, session_used, day_used, tokens_used, CAST(floor(session_used * 100 / 1e8 + 1e-6) AS BIGINT) AS session_percent, CAST(floor(day_used * 100 / 2e8 + 1e-6) AS BIGINT) AS day_percent, CAST(floor(tokens_used * 100 / 5000 + 1e-6) AS BIGINT) AS tokens_percent FROM s JOIN d USING (day)""")
 def budget_status(spark, d):
+    """What each session and its last day have used, in whole percents."""
     s = running.budget_status(R.with_cost(V.usage(spark, d)), 0.1, 0.2, 5000)
-    return s.select("session_id", F.date_format("day", "yyyy-MM-dd").alias("day"), *(F.round(c, 5).alias(c) for c in ("session_percent", "day_percent", "tokens_percent")))
+    return s.select("session_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "session_used", "day_used", "tokens_used", *(F.floor(F.col(c) + 1e-6).alias(c) for c in ("session_percent", "day_percent", "tokens_percent")))
 
 
 @query("token_estimate", f"WITH {M} SELECT id, {TOKENS} AS tokens FROM memories")
