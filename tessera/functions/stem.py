@@ -5,9 +5,9 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections import Counter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,12 +76,41 @@ def stem(word: str) -> str:
     return word
 
 
+#: Words of a batch that are stemmed at a time, about.
+HELD = 500_000
+
+
+def in_pieces(lists: pa.Array, most: int, tallied: bool) -> pa.Array:
+    """Lists of words as lists of stems, or (tallied) of struct(term, tf), about ``most`` words at a time.
+
+    Words stay Arrow's: only the distinct ones of a piece become Python's.
+    """
+    size = np.diff(lists.offsets.to_numpy())
+    if lists.null_count:
+        size[lists.is_null().to_numpy(zero_copy_only=False)] = 0
+    cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // most)) + 1
+    out, counts = [], [np.zeros(1, np.int64)]
+    for first, last in zip([0, *cuts], [*cuts, len(lists)], strict=True):
+        words = lists.slice(first, last - first).flatten().dictionary_encode()
+        stems = pa.array(map(stem, words.dictionary.to_pylist()), pa.string()).dictionary_encode()
+        term, n = stems.indices.to_numpy()[words.indices.to_numpy()], size[first:last]
+        if tallied:
+            key, times = np.unique(np.repeat(np.arange(len(n)) << 32, n) | term, return_counts=True)
+            term, n = key & 0xFFFFFFFF, np.bincount(key >> 32, minlength=len(n))
+        items = stems.dictionary.take(pa.array(term))
+        out.append(pa.StructArray.from_arrays([items, pa.array(times, pa.int32())], ["term", "tf"]) if tallied else items)
+        counts.append(n)
+    mask = lists.is_null() if lists.null_count and not tallied else None
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), pa.concat_arrays(out), mask=mask)
+
+
 def stemmed(words: Column) -> Column:
     """An array of words as an array of stems, in Arrow batches; each distinct word is stemmed once per worker."""
+    most = HELD
 
-    @F.pandas_udf("array<string>")
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return in_pieces(lists, most, False)
 
     return run(words)
 
@@ -104,9 +133,10 @@ def folded(text: Column) -> Column:
 
 def counted(words: Column) -> Column:
     """An array of words as array of struct(term, tf): stems and how often each occurs, in Arrow batches."""
+    most = HELD
 
-    @F.pandas_udf("array<struct<term:string,tf:int>>")
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda ws: [{"term": t, "tf": n} for t, n in Counter(map(stem, ws if ws is not None else ())).items()])
+    @F.arrow_udf("array<struct<term:string,tf:int>>")
+    def run(lists: pa.Array) -> pa.Array:
+        return in_pieces(lists, most, True)
 
     return run(words)

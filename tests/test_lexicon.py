@@ -4,10 +4,14 @@ import os
 import random
 import re
 import sqlite3
+import tracemalloc
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import stem
 from tessera.operators import lexicon
 from tessera.sources import views as V
 
@@ -99,3 +103,20 @@ def test_searches_of_the_catalogue_read_no_texts(spark):
 
     plan = search.lexical(V.memories(spark, d), V.memory_index(spark, d), ["thation"])._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan
+
+
+def test_stems_of_long_lists_are_held_a_piece_at_a_time():
+    """Words of a batch don't become Python's all at once, and pieces leave no seam."""
+    said = [f"{pick.choice('abeiort')}{w}ing" for w in range(500)]
+    lists = [pick.choices(said, k=pick.randint(0, 120)) for _ in range(3000)] + [None, [], said * 20]
+    batch = pa.array(lists, pa.list_(pa.string()))
+    for most in (64, 20_000, 10**9):
+        assert stem.in_pieces(batch, most, False).to_pylist() == [None if ws is None else [stem.stem(w) for w in ws] for ws in lists]
+        tallied = stem.in_pieces(batch, most, True).to_pylist()
+        assert [sorted((t["term"], t["tf"]) for t in row) for row in tallied] == [sorted(Counter(map(stem.stem, ws or ())).items()) for ws in lists]
+    del tallied
+    tracemalloc.start()
+    stem.in_pieces(batch, 20_000, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * 10**6  # some 190,000 words; as lists of words and dictionaries of Python they took 34 MB
