@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,17 @@ def ascii_words(pattern: str) -> str:
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
+def needed(pattern: str) -> tuple[str, ...]:
+    """Words in lower case of which a text holds one if it matches a pattern (in any case): of each alternative its longest.
+
+    None if groups are nested, or if an alternative has no word of its own.
+    """
+    whole = re.fullmatch(r"\(\?:([^()]*)\)", pattern)
+    plain = re.sub(r"\([^()]*\)[?*+]?|\[[^]]*\][?*+]?|\\.[?*+]?|[^|](?:[?*]|\{[^}]*\})|[.^$+]", "\n", whole[1] if whole else pattern)
+    words = tuple(max(part.split("\n"), key=len).lower() for part in plain.split("|"))
+    return words if all(words) and not set(plain) & set("()[]{}") else ()
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
@@ -103,18 +115,31 @@ TOKEN_FAMILIES = (
 )
 
 
+# What a text with a token of each family holds; looked for first, as that takes a fraction of the time.
+TOKEN_HINTS = (r"[a-zA-Z0-9][A-Z]", "_", "/", r"(?i)npm|yarn|bun|cargo|uv|pip|git|docker|kubectl", "-", r"\d\.\d", "E[A-Z0-9_]")
+
+
+def found_tokens(text: Column) -> Column:
+    """array of struct(token, type, family): significant tokens of two characters or more, as often as they are found."""
+
+    def of(family: int) -> Column:
+        kind, pattern = TOKEN_FAMILIES[family]
+        found = F.regexp_extract_all(text, F.lit(ascii_words(pattern)), F.lit(0))
+        found = F.when(~text.rlike(TOKEN_HINTS[family]), F.array().cast("array<string>")).otherwise(found)
+        return F.transform(found, lambda t: F.struct(t.alias("token"), F.lit(kind).alias("type"), F.lit(family).alias("family")))
+
+    return F.filter(F.concat(*map(of, range(len(TOKEN_FAMILIES)))), lambda t: F.length(t["token"]) >= 2)
+
+
 def typed_tokens(text: Column) -> Column:
     """array of struct(token, type): significant tokens, the first of those equal in lower case, of two characters or more."""
-    typed = lambda kind: lambda t: F.struct(t.alias("token"), F.lit(kind).alias("type"))
-    found = F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(ascii_words(p)), F.lit(0)), typed(kind)) for kind, p in TOKEN_FAMILIES))
-    long = F.filter(found, lambda t: F.length(t["token"]) >= 2)
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<struct<token:string,type:string>>").alias("out"))
 
     def add(s: Column, t: Column) -> Column:
-        low = F.lower(t["token"])
-        return F.when(F.array_contains(s["seen"], low), s).otherwise(F.struct(F.concat(s["seen"], F.array(low)).alias("seen"), F.concat(s["out"], F.array(t)).alias("out")))
+        low, kept = F.lower(t["token"]), F.struct(t["token"].alias("token"), t["type"].alias("type"))
+        return F.when(F.array_contains(s["seen"], low), s).otherwise(F.struct(F.concat(s["seen"], F.array(low)).alias("seen"), F.concat(s["out"], F.array(kept)).alias("out")))
 
-    return F.aggregate(long, start, add, lambda s: s["out"])
+    return F.aggregate(found_tokens(text), start, add, lambda s: s["out"])
 
 
 def sanitized(text: Column) -> Column:

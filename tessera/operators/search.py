@@ -19,7 +19,8 @@ PACK_OVERHEAD = 20
 
 def token_index(memories: DataFrame) -> DataFrame:
     """id, token, type: the typed-token table."""
-    return memories.select("id", F.explode(text.typed_tokens(F.col("content"))).alias("t")).select("id", F.lower("t.token").alias("token"), F.col("t.type").alias("type")).distinct()
+    found = memories.select("id", F.explode(text.found_tokens(F.col("content"))).alias("t")).select("id", F.lower("t.token").alias("token"), "t.type", "t.family")
+    return found.groupBy("id", "token").agg(F.min_by("type", "family").alias("type"))
 
 
 def by_token(memories: DataFrame, index: DataFrame, token: str) -> DataFrame:
