@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, ascii_words
+from .text import any_of, ascii_words, needed
 
 # Patterns (3 points each) and keywords (1 point each) of the intents, in order of precedence.
 INTENTS = {
@@ -66,9 +66,20 @@ SHOULD = (r"(?:please\s+)?(?:always|make sure to)\s+(.{10,}?)(?:\.|\z)", r"(?:yo
 CORRECTION = r"^\s*(?:no|nope|wrong|incorrect|don't|stop)"
 
 
-def hits(text: Column, patterns: tuple[str, ...]) -> Column:
-    """How many of the patterns (any case) match."""
-    return sum((text.rlike(ascii_words(f"(?i){p}")).cast("int") for p in patterns), F.lit(0))
+def hits(text: Column, low: Column, patterns: tuple[str, ...]) -> Column:
+    """How many of the patterns (any case) match; low: the text in lower case, where each pattern's words are looked for first."""
+
+    def match(pattern: str) -> Column:
+        found, words = text.rlike(ascii_words(f"(?i){pattern}")), needed(pattern)
+        return any_of([F.contains(low, F.lit(w)) for w in words]) & found if words else found
+
+    return sum((match(p).cast("int") for p in patterns), F.lit(0))
+
+
+def lowered_once(text: Column, made) -> Column:
+    """``made`` of a text and its lower case, which is computed once."""
+    bound = F.array(F.struct(text.alias("text"), F.lower(text).alias("low")))
+    return F.element_at(F.transform(bound, lambda s: made(s["text"], s["low"])), 1)
 
 
 def first_largest(scores: dict[str, Column], least: int, otherwise: str | None) -> Column:
@@ -87,9 +98,11 @@ def counted_once(scores: dict[str, Column], made) -> Column:
 
 
 def intent(query: Column) -> Column:
-    low = F.lower(query)
-    points = {name: 3 * hits(query, patterns) + sum((F.contains(low, F.lit(k)).cast("int") for k in keywords), F.lit(0)) for name, (patterns, keywords) in INTENTS.items()}
-    return counted_once(points, lambda p: first_largest(p, 2, "general"))
+    def made(text: Column, low: Column) -> Column:
+        points = {name: 3 * hits(text, low, patterns) + sum((F.contains(low, F.lit(k)).cast("int") for k in keywords), F.lit(0)) for name, (patterns, keywords) in INTENTS.items()}
+        return counted_once(points, lambda p: first_largest(p, 2, "general"))
+
+    return lowered_once(query, made)
 
 
 def scope(query: Column) -> Column:
@@ -141,14 +154,13 @@ def statements(text: Column, least: int) -> Column:
 
 def extraction(text: Column) -> Column:
     """struct(type, hits, confidence) by pattern votes; null without a vote."""
-    votes = {name: hits(text, patterns) for name, patterns in EXTRACTION.items()}
 
     def winner(v: dict[str, Column]) -> Column:
         top = F.greatest(*v.values())
         trust = F.when(top >= 3, "high").when(top == 2, "medium").otherwise("low")
         return F.when(top > 0, F.struct(first_largest(v, 1, None).alias("type"), top.alias("hits"), trust.alias("confidence")))
 
-    return counted_once(votes, winner)
+    return lowered_once(text, lambda text, low: counted_once({name: hits(text, low, patterns) for name, patterns in EXTRACTION.items()}, winner))
 
 
 def corrections(text: Column) -> Column:
