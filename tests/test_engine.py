@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import re
 import time
 
@@ -189,6 +190,23 @@ def test_supersession_and_review(spark):
     assert {r.old_id for r in conflicts.auto_superseded(found).collect()} == {1, 3}
 
 
+def test_superseded_holds_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(conflicts, "STRETCH", 3)
+    words = [f"word{i}" for i in range(20)]
+    pick = random.Random(3)
+    rows = []
+    for i in range(140):  # many copies, of several types, some of which say that something changed
+        said = words[:19] if i % 3 else words
+        rows.append((i, " ".join(said) + pick.choice(["", "", " no", "; it is NOW"]), pick.choice(["decision", "failed_attempt", "known_fix", "environment"])))
+    memories = spark.createDataFrame(rows, "id long, content string, object_type string")
+    old, new = (memories.toDF(*(f"{name}_{c}" for c in memories.columns)) for name in ("old", "new"))
+    shared = text.jaccard(text.plain_words(F.col("old_content")), text.plain_words(F.col("new_content")))
+    pairs = old.join(new, F.col("old_id") < F.col("new_id")).withColumn("similarity", shared)
+    want = {(r.old_id, r.new_id, r.reason, round(r.confidence, 9)) for r in conflicts.auto_superseded(conflicts.supersessions(pairs)).collect()}
+    got = [(r.old_id, r.new_id, r.reason, round(r.confidence, 9)) for r in conflicts.superseded(memories).collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 50 and len({r for _, _, r, _ in want}) == 3
+
+
 def test_resolution(spark):
     found = spark.createDataFrame([(1, 10, "replace"), (2, 11, "keep_existing"), (3, 12, "reject_both")], "candidate_id long, existing_id long, resolution string")
     assert {(r.id, r.change) for r in conflicts.resolved(found).collect()} == {(10, "supersede"), (1, "approve"), (2, "reject"), (12, "retire"), (3, "reject")}
